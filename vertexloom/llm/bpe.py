@@ -33,7 +33,7 @@ from .common import slices, table, texts_of
 #: Added to the code of a word's last symbol: `a` at a word's end is another symbol than `a` within it.
 END = 0x1000
 #: Chunks of text whose codes a worker keeps, and the longest chunk kept; they bound its memory, not what it encodes.
-CACHE_CHUNKS, CACHE_CHARS = 150_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 300_000, 48
 
 #: Compatible and incompatible pairs that a worker keeps.
 KNOWN_PAIRS = 300_000
@@ -59,7 +59,7 @@ class BacktrackEncoder:
             if s and self.whole(i):
                 self.finder.add_word(s[::-1], i)
         self.finder.make_automaton()
-        self.shorter: dict[int, int] = {}
+        self.shorter = [self.prefix(i) for i in range(len(strings))]
         self.known: dict[tuple[int, int], bool] = {}
 
     def whole(self, token: int) -> bool:
@@ -93,54 +93,46 @@ class BacktrackEncoder:
                     return True
                 bound, left = min(bound, left), inner
 
-    def fits(self, left: int, right: int) -> bool:
-        """`compatible`, from the table of pairs met before; the table is emptied when full."""
-        found = self.known.get((left, right))
-        if found is None:
-            if len(self.known) >= KNOWN_PAIRS:
-                self.known.clear()
-            found = self.known[left, right] = self.compatible(left, right)
-        return found
-
     def prefix(self, token: int) -> int:
         """The longest token that is a proper prefix of `token` and can occur; -1 if none."""
-        found = self.shorter.get(token)
-        if found is None:
-            s, found = self.strings[token], -1
-            for n in range(len(s) - 1, 0, -1):
-                i = self.index.get(s[:n], -1)
-                if i >= 0 and self.whole(i):
-                    found = i
-                    break
-            self.shorter[token] = found
-        return found
+        s = self.strings[token]
+        for n in range(len(s) - 1, 0, -1):
+            i = self.index.get(s[:n], -1)
+            if i >= 0 and self.whole(i):
+                return i
+        return -1
 
     def encode(self, word: str) -> list[int]:
-        n = len(word)
-        longest, sizes = [-1] * n, self.sizes
-        for end, token in self.finder.iter(word[::-1]):
-            at = n - 1 - end
-            if longest[at] < 0 or sizes[token] > sizes[longest[at]]:
-                longest[at] = token
-        alive = bytearray(b"\1") * (n + 1)
+        last, sizes, known, shorter = len(word) - 1, self.sizes, self.known, self.shorter
+        # at each place of the reversed word the automaton gives the longest match first
+        longest = dict(reversed(list(self.finder.iter(word[::-1])))).get
+        token, at, before = longest(last, -1), 0, -1
+        if token >= 0 and sizes[token] > last:
+            return [token]
+        dead: set[int] = set()
         out: list[int] = []
-        at, token = 0, longest[0] if n else -1
-        while at < n:
+        while at <= last:
             if token < 0:
                 if not out:
                     raise ValueError(f"no token sequence spells {word[:50]!r}")
-                alive[at] = 0
-                token = out.pop()
-                at -= sizes[token]
-                token = self.prefix(token)
+                dead.add(at)
+                at -= sizes[before]
+                token = shorter[out.pop()]
+                before = out[-1] if out else -1
                 continue
             end = at + sizes[token]
-            if alive[end] and (not out or self.fits(out[-1], token)):
-                out.append(token)
-                at = end
-                token = longest[at] if at < n else -1
-            else:
-                token = self.prefix(token)
+            if end not in dead:
+                fits = before < 0 or known.get((before, token))
+                if fits is None:
+                    if len(known) >= KNOWN_PAIRS:
+                        known.clear()
+                    fits = known[before, token] = self.compatible(before, token)
+                if fits:
+                    out.append(token)
+                    at, before = end, token
+                    token = longest(last - at, -1)
+                    continue
+            token = shorter[token]
         return out
 
 
@@ -172,8 +164,13 @@ def little_endian(ids: list[int]) -> bytes:
     return codes.tobytes()
 
 
-def ascii_splitter(spec: dict) -> re.Pattern | None:
-    """The split pattern for printable ASCII, whose bytes stand for themselves; None if the file splits otherwise.
+#: Printable ASCII and Latin letters that are precomposed and lower-case alike everywhere.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+LATIN = re.compile(rf"[!-~{LETTERS}]+")
+
+
+def latin_splitter(spec: dict) -> re.Pattern | None:
+    """The split pattern for texts of LATIN; None if the file normalises or splits otherwise.
 
     There NFC changes nothing and letters and digits are known, so that no Unicode tables are needed.
     """
@@ -181,10 +178,17 @@ def ascii_splitter(spec: dict) -> re.Pattern | None:
     steps = spec["pre_tokenizer"].get("pretokenizers", [])
     if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"] or not steps[0]["invert"]:
         return None
-    pattern = steps[0]["pattern"]["Regex"].replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9")
+    pattern = steps[0]["pattern"]["Regex"].replace(r"\p{L}", LETTERS).replace(r"\p{N}", "0-9")
     return None if r"\p" in pattern else re.compile(pattern)
 
 
+def byte_symbols() -> list[str]:
+    """The symbol of each byte: visible Latin-1 characters stand for themselves, others follow from 256 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return [chr(b) if b in visible else chr(next(rest)) for b in range(256)]
+
+
 class WordTokenizer:
     """A tokenizer file with word-end symbols: its normaliser and splitter, with the merges done by backtracking."""
 
@@ -218,12 +222,15 @@ class WordTokenizer:
         self.encoder, self.table = BacktrackEncoder(strings, pairs), OffsetTable(names, " ")
         self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
         self.words: dict[str, list[int]] = {}
-        self.ascii = ascii_splitter(spec)
+        self.latin = latin_splitter(spec)
+        self.symbols = byte_symbols()
 
     def plain(self, text: str) -> list[int]:
         """Tokens of a text without special tokens."""
-        if self.ascii and text.isascii() and text.isprintable():
-            words = self.ascii.findall(text.lower())
+        if self.latin and LATIN.fullmatch(text):
+            words = self.latin.findall(text.lower())
+            if not text.isascii():
+                words = [w if w.isascii() else "".join(map(self.symbols.__getitem__, w.encode())) for w in words]
         else:
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)) if w]
         out: list[int] = []
@@ -240,13 +247,19 @@ class WordTokenizer:
 
     def chunk(self, text: str) -> tuple[int, bytes, bytes]:
         """Number of tokens, ids as little-endian 32-bit integers, decoded and padded, of a chunk without white space."""
+        if text[-1] in ",." and len(text) > 1 and text[-2] < "\u0250" and text[-2].isalpha() and self.latin:
+            # a letter and the mark behind it are never one word
+            (a, b, c), (x, y, z) = (self.chunks.get(t) or self.chunk(t) for t in (text[:-1], text[-1]))
+            return self.kept(text, (a + x, b + y, c + z))
         ids: list[int] = []
         for part in self.special.split(text) if self.special else [text]:
             if part in self.added:
                 ids.append(self.added[part])
             elif part:
                 ids += self.plain(part)
-        made = (len(ids), little_endian(ids), self.table.padded(ids))
+        return self.kept(text, (len(ids), little_endian(ids), self.table.padded(ids)))
+
+    def kept(self, text: str, made: tuple[int, bytes, bytes]) -> tuple[int, bytes, bytes]:
         if len(text) <= CACHE_CHARS:
             if len(self.chunks) >= CACHE_CHUNKS:
                 self.chunks.clear()

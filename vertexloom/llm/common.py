@@ -8,6 +8,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Rows of one Arrow record batch that are worked on together in Python; bounds a worker's memory with long texts.
 SLICE_ROWS = 256
@@ -57,6 +58,23 @@ def slices(batches, rows: int = SLICE_ROWS):
             yield batch.slice(at, rows)
 
 
+def appended(df: DataFrame, inputs: list[str], fields: str, make) -> DataFrame:
+    """df with further columns: make(list of Arrow arrays of the inputs) gives an Arrow array for each of `fields`.
+
+    All of df's columns pass through, by place, so their names and number don't matter, save that inputs are distinct.
+    """
+    places = [df.columns.index(c) for c in inputs]
+    schema = T.StructType([*df.schema.fields, *T.StructType.fromDDL(fields).fields])
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        for batch in slices(batches):
+            made = make([batch.column(i) for i in places])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=names)
+
+    return df.mapInArrow(run, schema)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     """Strings of a column, null as the empty text."""
     return [x or "" for x in column.to_pylist()]
