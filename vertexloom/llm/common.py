@@ -58,6 +58,14 @@ def slices(batches, rows: int = SLICE_ROWS):
             yield batch.slice(at, rows)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """name, with as many underscores before it as it takes to be no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def appended(df: DataFrame, inputs: list[str], fields: str, make) -> DataFrame:
     """df with further columns: make(list of Arrow arrays of the inputs) gives an Arrow array for each of `fields`.
 

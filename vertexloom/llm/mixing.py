@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, unused, written
 
 WORD = r"[^\\x20\\x09-\\x0D]+"
 #: Bins of rank for each source.
@@ -76,6 +76,21 @@ def mix(docs: DataFrame, weights=(5.0, 2.0, 1.0), total_share: float = 1.5, limi
     return both.select(F.col("id").alias(id_col), "size", F.col("source"), "source_size", "target", (F.col("sure") + F.col("more")).cast("int").alias("copies"))
 
 
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows as often as the mix takes them, with all their columns.
+
+    A row is found again by a hash over id, text and source; rows alike in all three are numbered.
+    """
+    key, number, copy = (unused(docs, x) for x in ("_row", "_number", "_copy"))
+    alike = Window.partitionBy(key).orderBy(F.lit(0))
+    keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col), F.col(source_col)))
+    times = mix(keyed, id_col=key, text_col=text_col, source_col=source_col, **how).select(key, F.col("copies").alias(copy))
+    times = times.withColumn(number, F.row_number().over(alike)).where(F.col(copy) > 0)
+    out = keyed.withColumn(number, F.row_number().over(alike)).join(times, [key, number])
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copy))))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "copies")
