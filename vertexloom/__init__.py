@@ -1,0 +1 @@
+"""Locality analytics for sparse matrices and directed graphs, on Spark DataFrames."""
