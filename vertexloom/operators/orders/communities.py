@@ -95,9 +95,9 @@ def communities_in_rounds(g: Graph, rounds: int = 20) -> DataFrame:
     for _ in range(rounds):
         mine, theirs = strength.select(F.col("com").alias("row"), F.col("s").alias("sr")), strength.select(F.col("com").alias("col"), F.col("s").alias("sc"))
         gains = weights.join(mine, "row").join(theirs, "col").withColumn("gain", F.col("weight") - F.col("sr") * F.col("sc") / F.lit(float(total)))
-        # from the lighter to the heavier, so that merges make no circle
-        upward = (F.col("sr") < F.col("sc")) | ((F.col("sr") == F.col("sc")) & (F.col("row") < F.col("col")))
-        best = gains.where(upward & (F.col("gain") > 0)).groupBy("row").agg(F.max(F.struct("gain", (-F.col("col")).alias("minus"))).alias("b")).select("row", (-F.col("b.minus")).alias("to"))
+        best = gains.where("gain > 0").groupBy("row").agg(F.max(F.struct("gain", (-F.col("col")).alias("minus"), "sr", "sc")).alias("b")).select("row", (-F.col("b.minus")).alias("to"), "b.sr", "b.sc")
+        # from the lighter to the heavier, so that merges make no circle; of the pair with the largest gain one merges
+        best = best.where((F.col("sr") < F.col("sc")) | ((F.col("sr") == F.col("sc")) & (F.col("row") < F.col("to")))).select("row", "to")
         best = written(best, "community-merges")
         if best.isEmpty():
             break
