@@ -33,7 +33,7 @@ from .common import slices, table, texts_of
 #: Added to the code of a word's last symbol: `a` at a word's end is another symbol than `a` within it.
 END = 0x1000
 #: Chunks of text whose codes a worker keeps, and the longest chunk kept; they bound its memory, not what it encodes.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
 
 #: Compatible and incompatible pairs that a worker keeps.
 KNOWN_PAIRS = 300_000
@@ -60,7 +60,7 @@ class BacktrackEncoder:
                 self.finder.add_word(s[::-1], i)
         self.finder.make_automaton()
         self.shorter = [self.prefix(i) for i in range(len(strings))]
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     def whole(self, token: int) -> bool:
         left, right = self.parents[token]
@@ -122,11 +122,11 @@ class BacktrackEncoder:
                 continue
             end = at + sizes[token]
             if end not in dead:
-                fits = before < 0 or known.get((before, token))
+                fits = before < 0 or known.get(before << 24 | token)
                 if fits is None:
                     if len(known) >= KNOWN_PAIRS:
                         known.clear()
-                    fits = known[before, token] = self.compatible(before, token)
+                    fits = known[before << 24 | token] = self.compatible(before, token)
                 if fits:
                     out.append(token)
                     at, before = end, token
@@ -164,6 +164,40 @@ def little_endian(ids: list[int]) -> bytes:
     return codes.tobytes()
 
 
+#: Number of tokens, ids as little-endian 32-bit integers, and the decoded text with a separator behind each token.
+Coded = tuple[int, bytes, bytes]
+
+
+def joined(parts: list[Coded]) -> Coded:
+    if not parts:
+        return 0, b"", b""
+    counts, ids, words = zip(*parts, strict=True)
+    return sum(counts), b"".join(ids), b"".join(words)
+
+
+class Recent:
+    """What was made lately: when the young generation is full it becomes the old one, and what is asked for stays young."""
+
+    def __init__(self):
+        self.young: dict[str, Coded] = {}
+        self.old: dict[str, Coded] = {}
+
+    def get(self, key: str) -> Coded | None:
+        made = self.young.get(key)
+        if made is None and (made := self.old.get(key)) is not None:
+            self.put(key, made)
+        return made
+
+    def put(self, key: str, made: Coded) -> None:
+        if len(self.young) >= CACHE_CHUNKS:
+            # the dictionary itself stays, as loops hold on to it
+            self.old = dict(self.young)
+            self.young.clear()
+        self.young[key] = made
+
+
+#: Letters, then marks that are no apostrophe and don't begin a special token.
+TAIL = re.compile(r"([A-Za-zÀ-ÖØ-öø-įı-ɏ]+)([!-&(-/:;=-@\[-`{-~]+)")
 #: Printable ASCII and Latin letters that are precomposed and lower-case alike everywhere.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 LATIN = re.compile(rf"[!-~{LETTERS}]+")
@@ -220,63 +254,60 @@ class WordTokenizer:
             a, b = rule.split(" ") if isinstance(rule, str) else rule
             pairs.setdefault((vocab[a], vocab[b]), vocab[a + b])
         self.encoder, self.table = BacktrackEncoder(strings, pairs), OffsetTable(names, " ")
-        self.chunks: dict[str, tuple[int, bytes, bytes]] = {}
-        self.words: dict[str, list[int]] = {}
+        self.chunks, self.words = Recent(), Recent()
         self.latin = latin_splitter(spec)
         self.symbols = byte_symbols()
 
-    def plain(self, text: str) -> list[int]:
-        """Tokens of a text without special tokens."""
+    def word(self, word: str) -> Coded:
+        """One word as the splitter gives it."""
+        made = self.words.get(word)
+        if made is None:
+            ids = self.encoder.encode(word[:-1] + chr(ord(word[-1]) + END))
+            made = (len(ids), little_endian(ids), self.table.padded(ids))
+            if len(word) <= CACHE_CHARS:
+                self.words.put(word, made)
+        return made
+
+    def plain(self, text: str) -> Coded:
+        """A text without special tokens."""
         if self.latin and LATIN.fullmatch(text):
             words = self.latin.findall(text.lower())
             if not text.isascii():
                 words = [w if w.isascii() else "".join(map(self.symbols.__getitem__, w.encode())) for w in words]
         else:
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)) if w]
-        out: list[int] = []
-        for word in words:
-            ids = self.words.get(word)
-            if ids is None:
-                ids = self.encoder.encode(word[:-1] + chr(ord(word[-1]) + END))
-                if len(word) <= CACHE_CHARS:
-                    if len(self.words) >= CACHE_CHUNKS:
-                        self.words.clear()
-                    self.words[word] = ids
-            out += ids
-        return out
+        return joined([self.word(w) for w in words])
+
+    def chunk(self, text: str) -> Coded:
+        """A chunk without white space."""
+        tail = None
+        if self.latin:
+            if text.isascii() and text.isalpha():
+                return self.kept(text, self.word(text.lower()))
+            tail = TAIL.fullmatch(text)
+        if tail:
+            # letters and the marks behind them are never one word
+            made = joined([self.chunks.get(t) or self.chunk(t) for t in tail.groups()])
+        elif self.special and any(x in text for x in self.added):
+            ids = [(1, little_endian([i]), self.table.padded([i])) if (i := self.added.get(x)) is not None else self.plain(x) for x in self.special.split(text) if x]
+            made = joined(ids)
+        else:
+            made = self.plain(text)
+        return self.kept(text, made)
 
-    def chunk(self, text: str) -> tuple[int, bytes, bytes]:
-        """Number of tokens, ids as little-endian 32-bit integers, decoded and padded, of a chunk without white space."""
-        if text[-1] in ",." and len(text) > 1 and text[-2] < "\u0250" and text[-2].isalpha() and self.latin:
-            # a letter and the mark behind it are never one word
-            (a, b, c), (x, y, z) = (self.chunks.get(t) or self.chunk(t) for t in (text[:-1], text[-1]))
-            return self.kept(text, (a + x, b + y, c + z))
-        ids: list[int] = []
-        for part in self.special.split(text) if self.special else [text]:
-            if part in self.added:
-                ids.append(self.added[part])
-            elif part:
-                ids += self.plain(part)
-        return self.kept(text, (len(ids), little_endian(ids), self.table.padded(ids)))
-
-    def kept(self, text: str, made: tuple[int, bytes, bytes]) -> tuple[int, bytes, bytes]:
+    def kept(self, text: str, made: Coded) -> Coded:
         if len(text) <= CACHE_CHARS:
-            if len(self.chunks) >= CACHE_CHUNKS:
-                self.chunks.clear()
-            self.chunks[text] = made
+            self.chunks.put(text, made)
         return made
 
-    def encode(self, text: str) -> tuple[int, bytes, bytes]:
-        """Number of tokens, ids as bytes, and the decoded text in UTF-8.
+    def encode(self, text: str) -> Coded:
+        """A whole text, with the last separator off.
 
         No token spans white space and normalising never joins across it, so a text is the sum of its chunks.
         """
-        get, make = self.chunks.get, self.chunk
-        parts = [get(c) or make(c) for c in CHUNK.findall(text)]
-        if not parts:
-            return 0, b"", b""
-        counts, ids, words = zip(*parts, strict=True)
-        return sum(counts), b"".join(ids), self.table.trimmed(b"".join(words))
+        get, older, make = self.chunks.young.get, self.chunks.get, self.chunk
+        n, ids, words = joined([get(c) or older(c) or make(c) for c in CHUNK.findall(text)])
+        return n, ids, self.table.trimmed(words)
 
 
 @lru_cache(maxsize=2)
