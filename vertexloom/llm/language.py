@@ -16,6 +16,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -29,7 +30,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents per language, and different words, that are learned from at most; rounds of estimation; pseudo-count.
 SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, PSEUDO = 500, 150_000, 4, 0.05
 #: Words that a worker keeps, and the length up to which words are worked on together.
-CACHE_WORDS, SHORT = 200_000, 48
+CACHE_WORDS, SHORT = 400_000, 48
 #: Probabilities are scaled by this for each letter, so that products over a short word stay in range.
 SCALE = 24.0
 
@@ -47,39 +48,37 @@ class Pieces:
         self.size = len(self.names) + 1
         self.finder = ahocorasick.Automaton()
         for i, name in enumerate(self.names):
-            self.finder.add_word(name, (i, len(name)))
+            self.finder.add_word(name, i)
         self.finder.make_automaton()
         self.longest = max(map(len, self.names))
         self.lengths = np.array([*map(len, self.names), 1], np.int64)
 
-    def arcs(self, word: str) -> list[tuple[int, int, int]]:
-        """(end, start, piece), by end."""
-        found = [(end + 1, end + 1 - n, i) for end, (i, n) in self.finder.iter(word)]
-        single = {e for e, s, _ in found if e - s == 1}
-        if len(single) < len(word):
-            found += [(j, j - 1, self.size - 1) for j in range(1, len(word) + 1) if j not in single]
-            found.sort()
-        return found
+    def arcs(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """End, start and piece of every match in a text of words between line ends, which no piece holds, by end."""
+        found = np.fromiter(chain.from_iterable(self.finder.iter(text)), np.int64).reshape(-1, 2)
+        ends, ids = found[:, 0] + 1, found[:, 1]
+        starts = ends - self.lengths[ids]
+        bare = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) != 10
+        bare[starts[ends - starts == 1]] = False
+        bare = np.flatnonzero(bare)
+        if len(bare):
+            ends, starts, ids = np.concatenate([ends, bare + 1]), np.concatenate([starts, bare]), np.concatenate([ids, np.full(len(bare), self.size - 1)])
+            order = np.argsort(ends, kind="stable")
+            ends, starts, ids = ends[order], starts[order], ids[order]
+        return ends, starts, ids
 
 
 class Lattices:
-    """The lattices of many short words, as arrays."""
+    """The lattices of many short words, as arrays: a node before each letter, and one at the line end behind a word."""
 
     def __init__(self, pieces: Pieces, words: list[str]):
-        marked = ["▁" + w for w in words]
-        lengths = np.array([len(w) for w in marked], np.int64)
-        self.base = np.concatenate([[0], np.cumsum(lengths + 1)])
-        self.last, self.lengths = self.base[:-1] + lengths, lengths
-        ends, starts, ids = [], [], []
-        for w, base in zip(marked, self.base.tolist(), strict=False):
-            for e, s, i in pieces.arcs(w):
-                ends.append(base + e)
-                starts.append(base + s)
-                ids.append(i)
-        self.ends, self.starts, self.ids = (np.array(x, np.int64) for x in (ends, starts, ids))
-        place = np.arange(self.base[-1]) - np.repeat(self.base[:-1], lengths + 1)
+        self.lengths = np.array([len(w) + 1 for w in words], np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.lengths + 1)])
+        self.last = self.base[:-1] + self.lengths
+        self.ends, self.starts, self.ids = pieces.arcs("".join([f"▁{w}\n" for w in words]))
+        place = np.arange(self.base[-1]) - np.repeat(self.base[:-1], self.lengths + 1)
+        self.place = place
         self.forward_steps = self.steps(self.ends, place)
-        self.backward_steps = self.steps(self.starts, place)[::-1]
 
     @staticmethod
     def steps(nodes: np.ndarray, place: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -107,7 +106,7 @@ class Lattices:
     def backward(self, weights: np.ndarray) -> np.ndarray:
         beta = np.zeros((self.base[-1], weights.shape[1]))
         beta[self.last] = 1.0
-        for arcs, begins, nodes in self.backward_steps:
+        for arcs, begins, nodes in self.steps(self.starts, self.place)[::-1]:
             beta[nodes] = np.add.reduceat(beta[self.ends[arcs]] * weights[self.ids[arcs]], begins, axis=0)
         return beta
 
@@ -132,8 +131,8 @@ class Scorer:
         alpha, logs = np.zeros((len(word) + 1, self.p.shape[1])), np.zeros(self.p.shape[1])
         alpha[0] = 1.0
         done = 0
-        for e, s, i in self.pieces.arcs(word):
-            if e > done and done and done % 32 == 0 and e == done + 1:
+        for e, s, i in zip(*(x.tolist() for x in self.pieces.arcs(word)), strict=True):
+            if e > done and done and done % 32 == 0:
                 window = alpha[max(0, done - back) : done + 1]
                 top = window.max(0)
                 window /= top
@@ -142,36 +141,45 @@ class Scorer:
             alpha[e] += alpha[s] * self.p[i]
         return np.log(alpha[len(word)]) + logs
 
-    def text(self, words: list[str]) -> np.ndarray:
-        """The sum of the words' log-likelihoods; all short words must be known."""
-        return self.known[[self.index[w] for w in words]].sum(0)
-
     def scores(self, texts: list[str]) -> list[np.ndarray | None]:
-        found = [LETTERS.findall(t.lower()) for t in texts]
+        """For each text the sum over its words, None for texts without any. Words are learned for many texts at a time."""
         out: list[np.ndarray | None] = []
-        for words in found:
-            if not words:
-                out.append(None)
-                continue
-            total = np.zeros(self.p.shape[1])
-            for w in [w for w in words if len(w) > SHORT]:
-                total = total + self.long(w)
-            words = [w for w in words if len(w) <= SHORT] if max(map(len, words)) > SHORT else words
-            for at in range(0, len(words), CACHE_WORDS // 4):
-                part = words[at : at + CACHE_WORDS // 4]
-                self.learn(part)
-                total = total + self.text(part)
-            out.append(total)
+        waiting: list[tuple[int, list[str]]] = []
+        room = at_once = CACHE_WORDS // 4
+
+        def settle() -> None:
+            self.learn([w for _, words in waiting for w in words])
+            index, known = self.index, self.known
+            for k, words in waiting:
+                out[k] = out[k] + known[[index[w] for w in words]].sum(0)
+            waiting.clear()
+
+        for k, text in enumerate(texts):
+            words = LETTERS.findall(text.lower())
+            out.append(np.zeros(self.p.shape[1]) if words else None)
+            if words and max(map(len, words)) > SHORT:
+                for w in words:
+                    if len(w) > SHORT:
+                        out[k] = out[k] + self.long(w)
+                words = [w for w in words if len(w) <= SHORT]
+            for at in range(0, len(words), at_once):
+                part = words[at : at + at_once]
+                if len(part) > room:
+                    settle()
+                    room = at_once
+                waiting.append((k, part))
+                room -= len(part)
+        settle()
         return out
 
     def learn(self, words: list[str]) -> None:
         """Makes the words known; all that were known before go if there is no room."""
         new = list({w for w in words if w not in self.index})
-        if not new:
-            return
         if len(self.index) + len(new) > CACHE_WORDS:
             self.index.clear()
             new = list(set(words))
+        if not new:
+            return
         at = len(self.index)
         self.known[at : at + len(new)] = self.short(new)
         self.index.update(zip(new, range(at, at + len(new)), strict=True))
