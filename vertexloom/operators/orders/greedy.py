@@ -220,11 +220,13 @@ def batches(g: Graph, steps: list[Step], seeds: str = IN, hub: int | None = None
     multiplicity; u with `hub` or more sources and v with `hub` or more targets count for nothing. by_id: within a batch
     places follow ids, not scores.
     """
-    edges = written(g.edges.select("row", "col").join(both_degrees(g).select(F.col("id").alias("row"), "outdeg"), "row").join(both_degrees(g).select(F.col("id").alias("col"), "indeg"), "col"), "order-edges")
+    fans = written(both_degrees(g), "order-degrees")
+    edges = g.edges.select("row", "col").join(fans.select(F.col("id").alias("row"), "outdeg"), "row").join(fans.select(F.col("id").alias("col"), "indeg"), "col")
+    edges = written(edges, "order-edges")
     sources = edges if hub is None else edges.where((F.col("indeg") < hub) & (F.col("outdeg") < hub))
     targets = edges.select("row", F.col("col").alias("w"))
     vertices = g.vertices()
-    scores = {"id": None, OUT: degrees(g, OUT), IN: degrees(g, IN)}[seeds]
+    scores = {"id": None, OUT: fans.select("id", F.col("outdeg").alias("deg")), IN: fans.select("id", F.col("indeg").alias("deg"))}[seeds]
     placed = None
     for number, step in enumerate(steps):
         if placed is None:

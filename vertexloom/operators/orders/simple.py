@@ -68,8 +68,19 @@ def block_shuffle(g: Graph, share: float, block: int, seed: int) -> DataFrame:
     return rows.select(F.col("id").alias("old_id"), F.when(F.col("picked"), F.col("block") * block + F.col("place")).otherwise(F.col("id")).cast("int").alias("new_id"))
 
 
-# fixed values: the settings (share, nearest, farthest) that training graphs are perturbed with
-PERTURBATIONS = ((0.1, 64, 256), (0.1, 256, 1024), (0.1, 1024, 4096), (0.2, 64, 256), (0.2, 256, 1024), (0.2, 1024, 4096), (0.3, 64, 256), (0.3, 256, 1024), (0.3, 1024, 4096))
+# fixed values: the settings (share, nearest, farthest) that training graphs are perturbed with, and the seed for graph 0
+PERTURBATIONS = (
+    (0.10, 64, 256),
+    (0.10, 256, 1024),
+    (0.20, 1024, 4096),
+    (0.30, 4096, 16384),
+    (0.30, 16384, 65536),
+    (0.40, 65536, 262144),
+    (0.50, 262144, 1048576),
+    (0.70, 1048576, 4194304),
+    (0.90, 0, 10000000),
+)
+PERTURBATION_SEED = 20260224
 
 
 def local_swaps(n: int, share: float, near: int, far: int, seed: int):
@@ -80,9 +91,9 @@ def local_swaps(n: int, share: float, near: int, far: int, seed: int):
     """
     import numpy as np
 
-    if not 0 <= share <= 1 or near < 1 or far < near:
-        if share:
-            raise ValueError("the share lies between 0 and 1, and distances from 1 on")
+    if share and (not 0 <= share <= 1 or near < 0 or far < max(1, near)):
+        raise ValueError("the share lies between 0 and 1, and distances from 1 on")
+    near = max(1, near)
     rng = np.random.default_rng(seed)
     content = np.arange(n)
     count = int(share * n + 0.5)
@@ -101,7 +112,7 @@ def local_swaps(n: int, share: float, near: int, far: int, seed: int):
 
 def perturbed(g: Graph, share: float, near: int, far: int, graph_id: int = 0) -> tuple[Graph, DataFrame]:
     """The graph after local swaps, and the ordering that they make."""
-    perm = local_swaps(g.n, share, near, far, 20260224 + graph_id)
+    perm = local_swaps(g.n, share, near, far, PERTURBATION_SEED + graph_id)
     table = g.spark.createDataFrame([(i, int(p)) for i, p in enumerate(perm)], "old_id int, new_id int")
     return relabel(g, table), table
 

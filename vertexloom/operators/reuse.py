@@ -159,6 +159,8 @@ def sampled_distances(g: Graph, graph_id: int = 0, stream_type: int = 0, sector:
     nnz = g.nnz()
     if sector <= 0:
         raise ValueError("sectors need at least one row")
+    if cap <= 0:
+        raise ValueError("the cap is the last bin's edge or more, so above 0")
     if samples <= 0 or nnz <= 1:
         return g.spark.createDataFrame([], "sid long, k long, status int, rd double")
     seed = (SEED + SEED_GRAPH * graph_id + SEED_STREAM * stream_type) & 0xFFFFFFFF
@@ -226,6 +228,8 @@ def doubled(blocks: DataFrame, precision: int, block: int, nnz: int) -> DataFram
 
 def sampled_histogram(distances: DataFrame, edges=EDGES) -> DataFrame:
     """bin, cnt, prob over the samples with an access before; those beyond the cap are in the last bin."""
+    if not len(edges) or list(edges) != sorted(edges):
+        raise ValueError("bin edges in order are needed")
     used = distances.where(F.col("status").isin(FOUND, BEYOND))
     return histogram(used.withColumn("rd", F.when(F.col("status") == BEYOND, F.lit(float(edges[-1]))).otherwise(F.col("rd"))), edges)
 

@@ -38,6 +38,21 @@ def power(g: Graph, x: DataFrame | None, times: int) -> DataFrame:
     return y
 
 
+def timed(g: Graph, x: DataFrame | None = None, trials: int = 5, check=None) -> dict:
+    """Mean seconds of a multiplication over some trials; check: a function of the vector that fails if it is wrong."""
+    from time import perf_counter
+
+    took = []
+    for _ in range(trials):
+        began = perf_counter()
+        y = multiply(g, x)
+        y.write.format("noop").mode("overwrite").save()
+        took.append(perf_counter() - began)
+        if check is not None:
+            check(y)
+    return {"trials": trials, "mean_s": sum(took) / max(1, trials), "best_s": min(took, default=0.0)}
+
+
 def unpermuted(y: DataFrame, perm: DataFrame) -> DataFrame:
     """The vector in old numbers: z[i] = y[perm[i]]."""
     return y.withColumnRenamed("idx", "new_id").join(perm, "new_id").select(F.col("old_id").alias("idx"), "val")

@@ -115,6 +115,14 @@ def write_edge_list(g: Graph, path: str, weighted: bool = False) -> None:
     g.edges.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def write_serialised(g: Graph, path: str, directed: bool = True) -> None:
+    """The binary form, for graphs whose edges fit on the driver, which writes the file; `path` is a local one."""
+    rows = np.array([tuple(r) for r in g.edges.select("row", "col").orderBy("row", "col").collect()], np.int64).reshape(-1, 2)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows[:, 0], minlength=g.n))]).astype("<i8")
+    with open(path, "wb") as f:
+        f.write(struct.pack("<?qq", directed, len(rows), g.n) + offsets.tobytes() + rows[:, 1].astype("<i4").tobytes())
+
+
 def write_parquet(g: Graph, path: str, clustered: bool = True) -> None:
     """Edges by ranges of (col, row), so that row groups hold neighbouring vertices."""
     edges = g.edges.repartitionByRange("col", "row").sortWithinPartitions("col", "row") if clustered else g.edges
