@@ -32,19 +32,19 @@ def test_names_and_bins(spark):
 
 def test_loading(spark):
     rows = table(spark, 20)
-    loaded = dataset.load(rows.toDF(*[f" {c.upper()} " for c in rows.columns]), "merbit", "sparse")
-    assert loaded.count() == 20 and loaded.where("sum_warning").count() == 0 and loaded.first()["kernel"] == "merbit"
+    loaded = dataset.load(rows.toDF(*[f" {c.upper()} " for c in rows.columns]), "tiles", "sparse")
+    assert loaded.count() == 20 and loaded.where("sum_warning").count() == 0 and loaded.first()["kernel"] == "tiles"
     text = rows.withColumn("speedup", F.when(F.col("graph_id") == "3", "x").otherwise(F.col("speedup").cast("string")))
     for bad, what in ((text, "unreadable"), (rows.unionByName(rows), "repeated"), (rows.withColumn("speedup", F.lit(0.0)), "above 0"), (rows.withColumn("exact_r1", F.lit(-0.5)), "negative"), (rows.withColumn("speedup", F.lit(float("inf"))), "finite")):
         with pytest.raises(dataset.BadData, match=what):
-            dataset.load(bad, "merbit", "sparse")
+            dataset.load(bad, "tiles", "sparse")
     with pytest.raises(ValueError, match="speedup"):
-        dataset.load(rows.drop("speedup"), "merbit", "sparse")
+        dataset.load(rows.drop("speedup"), "tiles", "sparse")
     assert dataset.load(rows.withColumn("exact_r1", F.col("exact_r1") + 0.5), "k", "d").where("sum_warning").count() == 20
 
 
 def test_groups_and_folds(spark):
-    rows = dataset.load(table(spark, 45, per=9), "merbit", "train", perturbed=True)
+    rows = dataset.load(table(spark, 45, per=9), "tiles", "train", perturbed=True)
     assert dataset.group_sizes(rows, 9).count() == 5
     with pytest.raises(dataset.BadData):
         dataset.group_sizes(rows, 8)
@@ -99,7 +99,7 @@ def test_ridge_against_normal_equations(spark):
 
 
 def test_cross_validation(spark):
-    rows = dataset.feature_view(dataset.load(table(spark, 60, per=3), "merbit", "train", perturbed=True), "sampled")
+    rows = dataset.feature_view(dataset.load(table(spark, 60, per=3), "tiles", "train", perturbed=True), "sampled")
     frame = ridge.cross_validated(rows)
     ridge.covered_once(frame, rows)
     assert metrics.regression(frame).first()["mae_log"] < 0.1
@@ -115,9 +115,9 @@ def test_cross_validation(spark):
 
 
 def test_experiments(spark):
-    train = dataset.feature_view(dataset.load(table(spark, 60, 1, per=3), "merbit", "train", perturbed=True), "sampled")
-    sparse = dataset.feature_view(dataset.load(table(spark, 20, 2), "merbit", "sparse"), "sampled")
-    rmat = dataset.feature_view(dataset.load(table(spark, 15, 3, "rmat_"), "merbit", "rmat"), "sampled")
+    train = dataset.feature_view(dataset.load(table(spark, 60, 1, per=3), "tiles", "train", perturbed=True), "sampled")
+    sparse = dataset.feature_view(dataset.load(table(spark, 20, 2), "tiles", "sparse"), "sampled")
+    rmat = dataset.feature_view(dataset.load(table(spark, 15, 3, "rmat_"), "tiles", "rmat"), "sampled")
     found = ridge.experiments(train, sparse, rmat)
     assert {k: v.count() for k, v in found.items()} == {"A_grouped_cv": 60, "B_same_graphs": 20, "C_held_out": 20, "D_external": 15}
     with pytest.raises(ValueError):

@@ -53,7 +53,7 @@ def parser() -> argparse.ArgumentParser:
     ev.add_argument("--train", required=True)
     ev.add_argument("--sparse", required=True)
     ev.add_argument("--external", required=True)
-    ev.add_argument("--kernels", default="merbit")
+    ev.add_argument("--kernels", default="tiles")
     ev.add_argument("--ridge-alpha", type=float, default=1.0)
     ev.add_argument("--cv-folds", type=int, default=5)
     ev.add_argument("-o", "--out", required=True)

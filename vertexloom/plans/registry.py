@@ -312,7 +312,7 @@ def two_hop_scores(g):
 sc as (select b.dst w, count(*) s from b0 join edge a on a.dst = b0.id join edge b on b.src = a.src where b.dst not in (select id from b0) group by b.dst),
 b1 as (select v.id, row_number() over (order by coalesce(s, 0) desc, v.id) + 31 as place from v left join sc on w = v.id where v.id not in (select id from b0) order by place limit 32)
 select id, cast(place as int) as place from (select * from b0 union all select * from b1)""")
-def pgorder_batches(g):
+def growing_batches(g):
     return greedy.batches(g, greedy.growing_steps(g.n, 1024)[:2]).select("id", "place")
 
 
