@@ -1,15 +1,17 @@
-"""What the operators share: reading tables, the shared folder, written stages, Arrow helpers."""
+"""What the operators share: reading tables, Arrow helpers, and, from the rest, the shared folder and written stages."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import ctypes
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ..storage import drop_written, fresh_path, shared_dir, written
+
+__all__ = ["appended", "drop_written", "fresh_path", "release", "shared_dir", "slices", "table", "texts_of", "unused", "written"]
+
 #: Rows of one Arrow record batch that are worked on together in Python; bounds a worker's memory with long texts.
 SLICE_ROWS = 256
 
@@ -18,44 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one made here."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or getattr(spark, "_vertexloom_shared", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='vertexloom-')}"
-        spark.sparkContext.setCheckpointDir(found)
-        spark._vertexloom_shared = found
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage ends there and outlives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, label)
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_written(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files of a table that `written` made, once no plan needs them."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def release() -> None:
+    """Gives freed memory back to the system: a Python worker lives on between stages, and others need its share."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # other C libraries have no such call
+        pass
 
 
 def slices(batches, rows: int = SLICE_ROWS):
-    """Record batches cut to at most `rows` rows each, without copying."""
+    """Record batches cut to at most `rows` rows each, without copying; memory is released behind the last."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    release()
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, table
+from .common import appended, release, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents per language, and different words, that are learned from at most; rounds of estimation; pseudo-count.
 SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, PSEUDO = 500, 150_000, 4, 0.05
 #: Words that a worker keeps, and the length up to which words are worked on together.
 CACHE_WORDS, SHORT = 400_000, 48
+#: Words whose lattices are in memory together while probabilities are estimated.
+WORDS_AT_ONCE = 10_000
 #: Probabilities are scaled by this for each letter, so that products over a short word stay in range.
 SCALE = 24.0
 
@@ -193,19 +195,20 @@ def pieces_of(path: str) -> Pieces:
 def estimate(pieces: Pieces, counts: dict[str, Counter], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities, a column for each language, from the languages' word counts."""
     langs, words = list(counts), list({w for c in counts.values() for w in c if len(w) <= SHORT})
-    often = np.array([[c.get(w, 0) for c in counts.values()] for w in words], float).reshape(len(words), len(langs))
-    lattices = Lattices(pieces, words)
     p = np.full((pieces.size, len(langs)), 1.0 / pieces.size)
     factor = SCALE ** pieces.lengths[:, None]
-    owner = np.searchsorted(lattices.base, lattices.ends, "right") - 1
-    for _ in range(rounds if len(words) else 0):
-        weights = p * factor
-        alpha, beta = lattices.forward(weights), lattices.backward(weights)
-        share = often / alpha[lattices.last]
-        expected = np.zeros_like(p)
-        for k in range(len(langs)):
-            arcs = alpha[lattices.starts, k] * weights[lattices.ids, k] * beta[lattices.ends, k] * share[owner, k]
-            expected[:, k] = np.bincount(lattices.ids, arcs, pieces.size)
+    for _ in range(rounds if words else 0):
+        weights, expected = p * factor, np.zeros_like(p)
+        # lattices of some words at a time, made anew each round, so that memory doesn't follow the sample
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            part = words[at : at + WORDS_AT_ONCE]
+            lattices = Lattices(pieces, part)
+            alpha, beta = lattices.forward(weights), lattices.backward(weights)
+            share = np.array([[c.get(w, 0) for c in counts.values()] for w in part], float) / alpha[lattices.last]
+            owner = np.searchsorted(lattices.base, lattices.ends, "right") - 1
+            for k in range(len(langs)):
+                arcs = alpha[lattices.starts, k] * weights[lattices.ids, k] * beta[lattices.ends, k] * share[owner, k]
+                expected[:, k] += np.bincount(lattices.ids, arcs, pieces.size)
         p = (expected + PSEUDO) / (expected.sum(0) + PSEUDO * pieces.size)
     return p
 
@@ -230,12 +233,15 @@ def learn(docs: DataFrame, vocabulary: str, where, id_col="doc_id", text_col="te
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
     words = some.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.orderBy(F.desc("n"), "lang", "word").limit(sample_words).collect()
+    words = words.orderBy(F.desc("n"), "lang", "word").limit(sample_words).toArrow()
     counts = {k: Counter() for k in langs}
-    for r in words:
-        counts[r["lang"]][r["word"]] = r["n"]
+    for lang, word, n in zip(*(words[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+        counts[lang][word] = n
     total = sum(sizes.values())
-    return {"langs": langs, "prior": np.array([sizes[k] / total for k in langs]), "p": estimate(pieces_of(vocabulary), counts), "vocabulary": vocabulary}
+    p = estimate(pieces_of(vocabulary), counts)
+    del words, counts
+    release()
+    return {"langs": langs, "prior": np.array([sizes[k] / total for k in langs]), "p": p, "vocabulary": vocabulary}
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, table
+from .common import appended, release, table
 
 #: Hash buckets; texts the scorer is trained on at most, half of them of each posterior; rounds of either estimation.
 BUCKETS, SAMPLE, EM_ROUNDS, FIT_ROUNDS = 4096, 3000, 60, 300
@@ -134,8 +134,9 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = FIT_ROUNDS, step: flo
     w, first, second = np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1), np.zeros(x.shape[1] + 1)
     weight = np.where(y >= 0.5, 0.5 / max(1, (y >= 0.5).sum()), 0.5 / max(1, (y < 0.5).sum()))
     for t in range(1, rounds + 1):
-        error = (1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -50, 50))) - y) * weight
-        grad = np.concatenate([x.T @ error, [error.sum()]]) + decay * w
+        z = x @ w[:-1].astype(x.dtype) + w[-1]
+        error = (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y) * weight
+        grad = np.concatenate([x.T @ error.astype(x.dtype), [error.sum()]]) + decay * w
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         w -= step * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8) * (0.1 if t < 20 else 0.3)
     return w
@@ -183,13 +184,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
             yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.string(), pa.float64(), pa.binary()))], names=["p", "y", "x"])
 
     u = (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    taken = rows.select(u, "text").mapInArrow(pick, "p string, y double, x binary").orderBy("p", "y", "x").limit(2 * sample).collect()
-    x = np.zeros((len(taken), BUCKETS + 2 * len(LABELLERS)))
-    for i, r in enumerate(taken):
-        x[i, :BUCKETS] = np.frombuffer(r["x"], np.float32) * GRAM_SCALE
-        x[i, vote_buckets(r["p"])] = 1.0
-    y = np.array([r["y"] for r in taken])
-    return {"posterior": posterior, "w": fit_scorer(x, y)}
+    taken = rows.select(u, "text").mapInArrow(pick, "p string, y double, x binary").orderBy("p", "y", "x").limit(2 * sample).toArrow()
+    x = np.zeros((len(taken), BUCKETS + 2 * len(LABELLERS)), np.float32)
+    for i, (p, features) in enumerate(zip(taken["p"].to_pylist(), taken["x"], strict=True)):
+        x[i, :BUCKETS] = np.frombuffer(features.as_buffer(), np.float32) * GRAM_SCALE
+        x[i, vote_buckets(p)] = 1.0
+    y = taken["y"].to_numpy()
+    del taken
+    w = fit_scorer(x, y)
+    del x
+    release()
+    return {"posterior": posterior, "w": w}
 
 
 def classify(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: str = "text", names=("quality_score", "weak_label", "keep")) -> DataFrame:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, unused, written
+from .common import release, slices, table, unused, written
 
 #: Fingerprints in a tile, about: a pair of tiles makes matrices of 8 MB.
 TILE = 1024
@@ -161,8 +161,9 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     return rows.join(nodes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Words of 64 bits in a wide fingerprint, and rows of a block: a task compares two blocks, tile by tile.
-WIDE, BLOCK = 4, 1 << 16
+#: Words of 64 bits in a wide fingerprint, rows of a block (a task compares two blocks, tile by tile) and of a tile, all of
+#: whose pairs may be near.
+WIDE, BLOCK, WIDE_TILE = 4, 1 << 16, 384
 
 
 def mixed(h: np.ndarray, k: int) -> np.ndarray:
@@ -229,10 +230,10 @@ def block_links(a: np.ndarray, b: np.ndarray | None, radius: int, similarity: fl
     ones = [np.bitwise_count(x).sum(1, dtype=np.int64) for x in (a, b)]
     shift = 0 if within else len(a)
     lefts, rights = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for p in range(0, len(a), TILE):
-        own = orders[0][p : p + TILE]
-        for q in range(p if within else 0, len(b), TILE):
-            other = orders[1][q : q + TILE]
+    for p in range(0, len(a), WIDE_TILE):
+        own = orders[0][p : p + WIDE_TILE]
+        for q in range(p if within else 0, len(b), WIDE_TILE):
+            other = orders[1][q : q + WIDE_TILE]
             # sizes rule out a similarity as high, or population counts a distance as low
             sizes = (a_sizes[own], b_sizes[other])
             if sizes[0].max() < similarity * sizes[1].min() or sizes[1].max() < similarity * sizes[0].min():
@@ -289,6 +290,7 @@ def wide_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
         else:
             i, j = block_links(bits[left], bits[~left], radius, similarity, sizes[left], sizes[~left])
             keys = np.concatenate([keys[left], keys[~left]])
+        release()
         return pa.table({"u": pa.array(keys[i]), "v": pa.array(keys[j])})
 
     return cells.groupBy("class", "x", "kind", "y").applyInArrow(run, "u long, v long").distinct()
