@@ -1,19 +1,20 @@
 """Document fingerprints: Merkle trees over sections and paragraphs, in built-in functions only.
 
 A text is cut into sections (at blank lines), these into paragraphs (lines), these into passages (sentences, and stretches
-of a bounded length where there is no sentence end). A leaf is the hash of a passage; a paragraph's hash is over its
-leaves', a section's over its paragraphs', the root over the sections'. The fingerprint holds the whole tree as text:
+of a bounded length where there is no sentence end). A leaf is the hash of a passage with its length in code points, a
+paragraph's hash is over its leaves, a section's over its paragraphs, the root over the sections' hashes. The fingerprint
+holds the whole tree as text:
 
-    root "|" section ("|" section)*      section = hash "=" paragraph (";" paragraph)*      paragraph = leaf ("," leaf)*
+    root "|" section ("|" section)*    section = hash "{" paragraph (";" paragraph)* "}"    paragraph = hash "[" leaves "]"
 
-with a leaf as its hash and its length in code points, joined by ":". Equal roots mean equal texts; where roots differ,
-sections that occur on one side only, and the leaves below them, are where the edit is. Likeness is the share of both
-texts, in code points over different leaves, that lies in leaves both have.
+Equal roots mean equal texts; where roots differ, sections whose hash the other tree doesn't have, and below them
+paragraphs and leaves, are where the edit is. Likeness is the share of both texts, in code points over different leaves,
+that lies in leaves both have.
 
 A document's neighbour is the row with the next larger id, and the first one's for the last. Ids are dealt to ranges so
 that a window never spans more than a range; the first row of each range is copied to the range before it.
 
-Null texts are the empty text, whose tree has one empty leaf. The likeness of equal texts is 1, and less than 1 for any
+Null texts are the empty text, whose tree has no leaf. The likeness of equal texts is 1, and less than 1 for any
 others. Rows that repeat an id follow one another in the order of their texts' hashes. Null ids come first. One row alone
 is its own neighbour. An empty table gives no rows.
 """
@@ -28,27 +29,37 @@ from .common import table, written
 #: Ranges of ids at most; the first rows of all ranges are broadcast, 16 bytes each.
 RANGES = 100_000
 #: Ids in a range at least.
-RANGE_IDS = 512
+RANGE_IDS = 128
 #: A passage: up to so many code points without a sentence end, with the marks and spaces that end it.
-PASSAGE = "(?s)[^.!?]{0,240}+[.!?]*+\\s*+"
+PASSAGE = "(?s)[^.!?]{0,48}+[.!?]*+\\s*+"
+LEAF, PARAGRAPH, SECTION = "[0-9a-f]{12}:[0-9]+", "[0-9a-f]{12}\\[[^\\]]*\\]", "[0-9a-f]{16}(?=\\{)"
 
 
-def short(c):
-    """Eight hex digits of a 64-bit hash."""
-    return F.lpad(F.hex(F.xxhash64(c).bitwiseAND(0xFFFFFFFF)), 8, "0")
+def digits(c, n: int):
+    """The last n hex digits of a 64-bit hash."""
+    return F.lower(F.right(F.lpad(F.hex(F.xxhash64(c)), 16, "0"), F.lit(n)))
+
+
+def bound(value, use):
+    """use(value) with the value computed once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def fingerprint(text):
     """The tree of a text column (not null), as text."""
-    leaf = lambda p: F.concat(F.lower(short(p)), F.lit(":"), F.char_length(p))
-    # the pattern matches the empty string at the end of each paragraph; that leaf is left out unless it is all there is
+    leaf = lambda p: F.concat(digits(p, 12), F.lit(":"), F.char_length(p))
+    # the pattern matches the empty string at the end of each paragraph, which is no leaf
     passages = lambda p: F.filter(F.regexp_extract_all(p, F.lit(PASSAGE), 0), lambda x: x != "")
-    paragraph = lambda p: F.array_join(F.transform(passages(p), leaf), ",")
-    section = lambda s: F.array_join(F.transform(F.split(s, "\n"), paragraph), ";")
-    sections = F.transform(F.split(text, "\n(?=\n)"), section)
-    body = F.array_join(F.transform(sections, lambda s: F.concat(F.lower(short(s)), F.lit("="), s)), "|")
-    root = F.concat(F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0")), F.lower(F.lpad(F.hex(F.xxhash64(F.reverse(text), F.lit(1))), 16, "0")))
-    return F.concat(root, F.lit("|"), body)
+    over = lambda children, n, left, right: bound(children, lambda c: F.concat(digits(c, n), F.lit(left), c, F.lit(right)))
+    paragraph = lambda p: over(F.array_join(F.transform(passages(p), leaf), ","), 12, "[", "]")
+    section = lambda s: over(F.array_join(F.transform(F.split(s, "\n"), paragraph), ";"), 16, "{", "}")
+    body = F.array_join(F.transform(F.split(text, "\n(?=\n)"), section), "|")
+    return bound(body, lambda b: F.concat(root_of(b), F.lit("|"), b))
+
+
+def root_of(body):
+    """32 digits over the sections' hashes."""
+    return bound(F.array_join(F.regexp_extract_all(body, F.lit(SECTION), 0), ","), lambda h: F.concat(digits(h, 16), digits(F.reverse(h), 16)))
 
 
 def root(print_):
@@ -57,7 +68,7 @@ def root(print_):
 
 def leaves(print_):
     """The different leaves of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(print_, F.lit("[0-9a-f]{8}:[0-9]+"), 0))
+    return F.array_distinct(F.regexp_extract_all(print_, F.lit(LEAF), 0))
 
 
 def length(found):
@@ -73,14 +84,19 @@ def likeness(one, two, one_leaves, two_leaves):
 
 
 def changed_sections(one, two):
-    """Sections (as hash=paragraphs) of the first fingerprint that the second doesn't have: where the edit is."""
-    parts = lambda x: F.slice(F.split(x, "\\|"), 2, F.size(F.split(x, "\\|")) - 1)
+    """Sections of the first fingerprint that the second doesn't have."""
+    parts = lambda x: F.filter(F.split(x, "\\|"), lambda s: F.contains(s, F.lit("{")))
     return F.array_except(parts(one), parts(two))
 
 
+def changed_paragraphs(one, two):
+    """Paragraphs of the changed sections that the second fingerprint doesn't have: where the edit is."""
+    return F.array_except(F.regexp_extract_all(F.array_join(changed_sections(one, two), "|"), F.lit(PARAGRAPH), 0), F.regexp_extract_all(two, F.lit(PARAGRAPH), 0))
+
+
 def changed_leaves(one, two):
-    """Leaves of the changed sections that the second fingerprint doesn't have."""
-    return F.array_except(F.regexp_extract_all(F.array_join(changed_sections(one, two), "|"), F.lit("[0-9a-f]{8}:[0-9]+"), 0), leaves(two))
+    """Leaves of the changed paragraphs that the second fingerprint doesn't have."""
+    return F.array_except(F.regexp_extract_all(F.array_join(changed_paragraphs(one, two), ";"), F.lit(LEAF), 0), leaves(two))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
