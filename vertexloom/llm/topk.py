@@ -11,7 +11,7 @@ broadcast.
 
 Rows whose vector is null, empty, or holds a null or a component that isn't finite take no part, nor do rows without an
 id. Vectors of unlike length are compared as if the shorter ended in zeros. Equal scores go to the smaller id; a row
-doesn't meet rows with its own id. Scores beyond 64 bits are held at the largest or smallest long.
+doesn't meet rows with its own id, and rows that share an id ask together, for k results in all. Scores beyond 64 bits are held at the largest or smallest long.
 """
 
 from __future__ import annotations
