@@ -157,7 +157,8 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, seed: int
     members = nodes.join(linked.withColumnRenamed("node", "fp"), "fp")
     least = members.groupBy("root").agg(F.min("first").alias("least"))
     named = members.join(least, "root").select("fp", "least")
-    nodes = nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    # written, so that the join with the rows has plain sides, of which Spark can split a crowded fingerprint's
+    nodes = written(nodes.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id")), "simhash-named")
     return rows.join(nodes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
