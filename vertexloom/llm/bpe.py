@@ -33,7 +33,7 @@ from .common import slices, table, texts_of
 #: Added to the code of a word's last symbol: `a` at a word's end is another symbol than `a` within it.
 END = 0x1000
 #: Chunks of text whose codes a worker keeps, and the longest chunk kept; they bound its memory, not what it encodes.
-CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
+CACHE_CHUNKS, CACHE_CHARS = 120_000, 48
 
 #: Compatible and incompatible pairs that a worker keeps.
 KNOWN_PAIRS = 300_000

@@ -30,7 +30,7 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents per language, and different words, that are learned from at most; rounds of estimation; pseudo-count.
 SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, PSEUDO = 500, 150_000, 4, 0.05
 #: Words that a worker keeps, and the length up to which words are worked on together.
-CACHE_WORDS, SHORT = 400_000, 48
+CACHE_WORDS, SHORT = 250_000, 48
 #: Words whose lattices are in memory together while probabilities are estimated.
 WORDS_AT_ONCE = 10_000
 #: Probabilities are scaled by this for each letter, so that products over a short word stay in range.
