@@ -34,6 +34,8 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements that hold blocks rather than text; paragraphs and the like are a kind of their own.
+FRAMES = frozenset("body center dd div dl dt main section table tbody td th thead tr article".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Elements that are never main text, and words in a class, id or role that say the same.
 NEVER = frozenset("nav footer aside form button select option dialog menu head title input label fieldset video audio".split())
@@ -86,8 +88,9 @@ def read(page: str):
             continue
         name = name.lower()
         kind = "br" if name == "br" else "inline" if name in INLINE else "block"
+        sort = "frame" if name in FRAMES else kind
         if m["end"]:
-            yield 0, ("tag", zone, kind, name in ("a", "li")), kind
+            yield 0, ("tag", zone, sort, name in ("a", "li")), kind
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     _, zone, linked, heading = stack[k]
@@ -103,7 +106,7 @@ def read(page: str):
                     break
                 if top not in INLINE:
                     break
-        yield 0, ("tag", zone, kind, name in ("a", "li")), kind
+        yield 0, ("tag", zone, sort, name in ("a", "li")), kind
         if name in VOID or m["rest"].endswith("/") and name not in ENDS_P and name not in INLINE:
             continue
         stack.append((name, zone, linked, heading))
@@ -187,7 +190,7 @@ def score(feature: tuple, learned: dict[tuple, float]) -> float:
         return 4.0
     if found is None:
         found = -0.5 if linked else 1.0
-    return max(-2.0, min(found, 2.0))
+    return max(-2.0, min(found, 1.2))
 
 
 def extract(page: str) -> str:
