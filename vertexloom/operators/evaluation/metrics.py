@@ -32,7 +32,9 @@ def with_rank(rows: DataFrame, column: str, name: str, by: list[str] | None = No
 def guarded_corr(x: Column, y: Column, least: float) -> Column:
     """Pearson's correlation; null for fewer than two rows or a side that hardly varies."""
     spread = F.least(F.stddev_pop(x), F.stddev_pop(y))
-    return F.when((F.count("*") >= 2) & (spread >= least), F.corr(x, y))
+    # corr itself divides, and fails where a side doesn't vary
+    found = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    return F.when((F.count("*") >= 2) & (spread >= least), found)
 
 
 def pearson(rows: DataFrame, x: str, y: str, name: str = "pearson", by: list[str] | None = None) -> DataFrame:

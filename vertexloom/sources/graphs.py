@@ -72,8 +72,8 @@ def read_serialised(spark: SparkSession, path: str, weighted: bool = False) -> G
                 yield pd.DataFrame({"row": rows, "col": near["v"].astype(np.int32), "val": near["w"].astype(float) if weighted else np.ones(len(rows)), "n": nodes})
 
     found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "row int, col int, val double, n long")
-    nodes = spark.read.format("binaryFile").load(path).select(F.expr("reverse(substring(content, 10, 8))").alias("n")).first()["n"]
-    return _graph(found.select("row", "col", "val"), path, int.from_bytes(bytes(nodes), "big"))
+    nodes = spark.read.format("binaryFile").load(path).select(F.expr("substring(content, 10, 8)").alias("n")).first()["n"]
+    return _graph(found.select("row", "col", "val"), path, int.from_bytes(nodes, "little"))
 
 
 READERS = {
