@@ -335,6 +335,30 @@ def test_wide_blocks(spark, monkeypatch):
     assert rows_of(simhash.deduplicated(df)) == whole
 
 
+def graded_texts(shares, groups=6, size=200):
+    """Groups of a text and copies whose similarity to it is about each share; copies share less with each other."""
+    rng = random.Random(9)
+    out = []
+    for g in range(groups):
+        base = [f"g{g}w{k}" for k in range(size)]
+        out.append(" ".join(base))
+        for k, share in enumerate(shares):
+            # a run of other words at the end: the shingles that stay are the base's first
+            same = round(size * 2 * share / (1 + share))
+            out.append(" ".join(base[:same] + [f"x{g}y{k}z{rng.random()}" for _ in range(size - same)]))
+    return out
+
+
+@pytest.mark.parametrize("sets", [1 << 20, 3000])
+def test_links_are_confirmed(spark, monkeypatch, sets):
+    """Texts under the similarity stay, though their fingerprints are near and others lie between; blocks don't matter."""
+    monkeypatch.setattr(simhash, "SETS", sets)
+    texts = graded_texts([0.95, 0.9, 0.85, 0.81, 0.78, 0.76, 0.74, 0.7, 0.65, 0.6]) + near_texts()
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    kept = sorted(r["doc_id"] for r in simhash.deduplicated(df).collect())
+    assert kept == sorted(set(labels([[j for j, u in enumerate(texts) if jaccard(t, u) >= 0.8] for t in texts], len(texts))))
+
+
 # pipeline
 
 
