@@ -117,6 +117,15 @@ def test_extraction():
     assert html_text.extract("") == "" and html_text.extract("<p></p><!-- x") == ""
 
 
+def test_blocks_within_the_text():
+    """Blocks that are left out part nothing, however long they are beside the text before and behind them."""
+    junk, long = "buy new boots " * 40, "and so it went on " * 30
+    for block in (f"<div class=ad>{junk}</div>", f"<aside><p>{junk}</p></aside>", f"<form>{'<p>x</p>' * 50}</form>", f"<section id=comments>{junk}</section>"):
+        for top in ("article", "main", "div id=content", "div"):
+            page = f"<{top}><h1>The river rose again</h1>{block}<p>{long}</p>{block}<p>It was the end of it.</p></{top.split()[0]}>"
+            assert html_text.extract(page) == f"The river rose again\n{long.strip()}\nIt was the end of it.", page
+
+
 @pytest.mark.parametrize("index", range(len(html_text.labelled_pages())))
 def test_labelled_pages(index):
     page = html_text.labelled_pages()[index]

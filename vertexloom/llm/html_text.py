@@ -176,16 +176,19 @@ def placed(page: str):
 
 
 def score(feature: tuple, learned: dict[tuple, float]) -> float:
-    """Of one word or tag; features not met in the labelled pages fall back to what is known of their zone."""
+    """Of one word or tag; features not met in the labelled pages fall back to what is known of their zone.
+
+    What is never main text is left out of the run afterwards and scores 0, so that no amount of it parts a run.
+    """
+    if feature[1] == "never":
+        return 0.0
     found = learned.get(feature)
     if feature[0] == "tag":
         found = -0.7 if found is None else found
         if feature[1] == "article":
             return max(found, -0.05)
-        return -4.0 if feature[1] == "never" else min(found, -0.05)
+        return min(found, -0.05)
     _, zone, linked, _ = feature
-    if zone == "never":
-        return -4.0
     if zone == "article":
         return 4.0
     if found is None:
