@@ -126,6 +126,21 @@ def test_blocks_within_the_text():
             assert html_text.extract(page) == f"The river rose again\n{long.strip()}\nIt was the end of it.", page
 
 
+def test_containers_with_never_words():
+    """Class lists that name a sidebar or comments by the way, and pages within one form, keep their text."""
+    body = "<h1>The river rose again</h1><p>It was the end of it.</p>"
+    text = "The river rose again\nIt was the end of it."
+    for tag in ('div class="content with-sidebar"', 'div id=main class="social-enabled"', 'section class="entry-content comments-open"'):
+        assert html_text.extract(f"<nav>home news</nav><{tag}>{body}</{tag.split()[0]}>") == text, tag
+    inner = (f"<article>{body}</article>", f"<main>{body}</main>", f"<div id=content>{body}</div>")
+    for outer in ('form action="/"', 'div class="page with-sidebar"', 'div class="page social-enabled"'):
+        for x in inner:
+            assert html_text.extract(f"<{outer}><nav>home news</nav>{x}<p>search here</p></{outer.split()[0]}>") == text, (outer, x)
+    # what is left out stays out
+    for junk in ('<div class="sidebar-content"><p>no no</p></div>', "<section id=comments><article><p>no no</p></article></section>", '<form><label>no no</label></form>', '<div hidden><main>no no</main></div>', "<aside><article>no no</article></aside>"):
+        assert html_text.extract(f"<article>{body}</article>{junk}") == text, junk
+
+
 @pytest.mark.parametrize("index", range(len(html_text.labelled_pages())))
 def test_labelled_pages(index):
     page = html_text.labelled_pages()[index]

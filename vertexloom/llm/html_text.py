@@ -44,6 +44,10 @@ NEVER_WORDS = frozenset(
     "popup modal overlay newsletter subscribe signup login search social share sharing related recommended recommendations comment comments reply replies respond disqus pagination pager toolbar widget skip complementary contentinfo".split()
 )
 MAIN_WORDS = frozenset("article content entry post story main body text articlebody".split())
+#: Of these, those that end a form or another container that only seems to be never main text, if a name holds no others.
+CORE_WORDS = frozenset("article content main articlebody".split())
+#: With one of these behind it, a never word tells what a container has or not, rather than what it is.
+STATES = frozenset("enabled disabled open opened closed on off active inactive".split())
 #: Elements that an unclosed paragraph or list item ends at.
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 SPACES = re.compile(r"\s+")
@@ -51,18 +55,43 @@ WORDS = re.compile(r"\S+")
 
 
 def zone_of(name: str, rest: str, parent: str) -> str:
-    """Where the children of an element stand: never, article, main or plain, or as the parent."""
-    if parent == "never" or name in NEVER:
-        return "never"
-    said: set[str] = set()
+    """Where the children of an element stand: article, main or plain, or as the parent; or where nothing is main text.
+
+    That is gone in hidden elements, never in others, and soft in forms and in containers whose names say by the way that
+    they have a sidebar or the like: they may be around the whole page. What is clearly main text within ends a soft zone,
+    and a main element a never zone.
+    """
+    if parent == "gone":
+        return "gone"
+    names: list[frozenset[str]] = []
+    wrapped = False
     if "=" in rest or "hidden" in rest.lower():
         for m in ATTRIBUTE.finditer(rest):
             value = (m[2] or m[3] or m[4] or "").lower()
             if m[1].lower() == "hidden" or m[1].lower() == "aria-hidden" and value == "true":
-                return "never"
-            said.update(x for x in re.split(r"[^a-z]+", value) if x)
-    if said & NEVER_WORDS and name not in ("article", "main", "body", "html") and not (said & MAIN_WORDS and not said & NEVER_WORDS):
+                return "gone"
+            for x in value.split():
+                words = [w for w in re.split(r"[^a-z]+", x) if w]
+                names.append(frozenset(words))
+                wrapped = wrapped or bool(words) and NEVER_WORDS.issuperset(words[:1]) and words[-1] not in STATES
+    said = {w for x in names for w in x}
+    # a name of main words and no never words, such as entry-content, outweighs any others
+    clear = any(x & MAIN_WORDS and not x & NEVER_WORDS for x in names)
+    barred = bool(said & NEVER_WORDS) and not clear
+    if parent in ("never", "soft"):
+        core = any(x & CORE_WORDS and not x & NEVER_WORDS and x <= MAIN_WORDS for x in names)
+        if name == "main" or parent == "soft" and (name == "article" and not barred or core and name not in NEVER and name != "header"):
+            parent = "plain"
+        elif parent == "never" or name in NEVER and name != "form" or barred and wrapped or name == "header":
+            return "never"
+        else:
+            return "soft"
+    if name == "form":
+        return "soft"
+    if name in NEVER:
         return "never"
+    if barred and name not in ("article", "main", "body", "html"):
+        return "never" if wrapped else "soft"
     if name == "header":
         return "head" if parent == "article" else "never"
     if name == "article" or "articlebody" in said:
@@ -78,10 +107,11 @@ def read(page: str):
     """(kind, feature, payload) for each piece of the page: tags as kind 0, text as kind 1 with the raw string."""
     stack: list[tuple[str, str, bool, bool]] = []
     zone, linked, heading = "plain", False, False
+    left_out = {"gone": "never", "soft": "never"}
     for m in TOKEN.finditer(page):
         text, name = m["text"], m["name"]
         if text is not None:
-            where = "never" if zone == "head" and not heading else zone
+            where = "never" if zone == "head" and not heading else left_out.get(zone, zone)
             yield 1, ("word", where, linked, heading), text
             continue
         if name is None:
@@ -90,7 +120,7 @@ def read(page: str):
         kind = "br" if name == "br" else "inline" if name in INLINE else "block"
         sort = "frame" if name in FRAMES else kind
         if m["end"]:
-            yield 0, ("tag", zone, sort, name in ("a", "li")), kind
+            yield 0, ("tag", left_out.get(zone, zone), sort, name in ("a", "li")), kind
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     _, zone, linked, heading = stack[k]
@@ -106,7 +136,7 @@ def read(page: str):
                     break
                 if top not in INLINE:
                     break
-        yield 0, ("tag", zone, sort, name in ("a", "li")), kind
+        yield 0, ("tag", left_out.get(zone, zone), sort, name in ("a", "li")), kind
         if name in VOID or m["rest"].endswith("/") and name not in ENDS_P and name not in INLINE:
             continue
         stack.append((name, zone, linked, heading))
