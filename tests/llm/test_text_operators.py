@@ -135,6 +135,16 @@ def test_fingerprints(spark):
     assert likeness(spark, "word " * 20_000, "word " * 19_999 + "end") > 0.7 and len(prints(spark, "...\n\n\n...")) == 1
 
 
+def test_likeness_counts_repeats(spark):
+    """Likeness is a share of the texts, not of the different passages in them."""
+    again = "It says the same again. "
+    assert likeness(spark, again * 90 + EN, again * 90 + DE) > 0.9
+    # 10 and 40 passages of 24 code points, of which 10 are in both
+    assert likeness(spark, again * 10, again * 40) == pytest.approx(0.4)
+    found = spark.createDataFrame([(f,) for f in prints(spark, again * 3 + EN, "")], "f string").select(merkle.leaves("f").alias("x")).collect()
+    assert [len(set(r["x"])) for r in found] == [len(r["x"]) for r in found] and [x.split("*")[0] for x in found[0]["x"]].count("3") == 1 and found[1]["x"] == []
+
+
 def test_paragraphs_are_cut_without_loss(spark):
     for text in (EN + DE, "a" * 1000, "?!... x", "1.5 and 2.5", " lead", "trail "):
         got = spark.createDataFrame([(text,)], "t string").select(F.filter(F.regexp_extract_all("t", F.lit(merkle.PASSAGE), 0), lambda x: x != "").alias("p")).first()["p"]

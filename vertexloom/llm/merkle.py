@@ -8,8 +8,8 @@ holds the whole tree as text:
     root "|" section ("|" section)*    section = hash "{" paragraph (";" paragraph)* "}"    paragraph = hash "[" leaves "]"
 
 Equal roots mean equal texts; where roots differ, sections whose hash the other tree doesn't have, and below them
-paragraphs and leaves, are where the edit is. Likeness is the share of both texts, in code points over different leaves,
-that lies in leaves both have.
+paragraphs and leaves, are where the edit is. Likeness is the share of both texts, in code points over leaves, that lies
+in leaves both have, each as often as both have it.
 
 A document's neighbour is the row with the next larger id, and the first one's for the last. Ids are dealt to ranges so
 that a window never spans more than a range; the first row of each range is copied to the range before it.
@@ -67,8 +67,11 @@ def root(print_):
 
 
 def leaves(print_):
-    """The different leaves of a fingerprint."""
-    return F.array_distinct(F.regexp_extract_all(print_, F.lit(LEAF), 0))
+    """The leaves of a fingerprint, each with the number of its occurrence before it, so that all are different."""
+    found = F.array_sort(F.regexp_extract_all(print_, F.lit(LEAF), 0))
+    starts = lambda v: F.filter(F.transform(v, lambda x, i: F.when((i == 0) | (F.get(v, i - 1) != x), i)), lambda i: i.isNotNull())
+    run = lambda v, s: lambda at, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(s, k + 1), F.size(v)) - at), lambda n: F.concat(n.cast("string"), F.lit("*"), F.get(v, at)))
+    return bound(found, lambda v: bound(starts(v), lambda s: F.flatten(F.transform(s, run(v, s)))))
 
 
 def length(found):
@@ -96,7 +99,7 @@ def changed_paragraphs(one, two):
 
 def changed_leaves(one, two):
     """Leaves of the changed paragraphs that the second fingerprint doesn't have."""
-    return F.array_except(F.regexp_extract_all(F.array_join(changed_paragraphs(one, two), ";"), F.lit(LEAF), 0), leaves(two))
+    return F.array_except(F.regexp_extract_all(F.array_join(changed_paragraphs(one, two), ";"), F.lit(LEAF), 0), F.regexp_extract_all(two, F.lit(LEAF), 0))
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
