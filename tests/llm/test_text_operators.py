@@ -166,6 +166,21 @@ def test_language(spark, empty, odd, crowded):
     assert {r["lang_pred"] for r in language.predict(odd, none).collect()} == {"und"}
 
 
+def test_all_words_are_learned_from(spark, monkeypatch):
+    """Rare words of a language with few texts, beside many frequent ones of another, and words of any length."""
+    seen = {}
+
+    def kept(pieces, counts):
+        seen.update(counts)
+        return np.full((pieces.size, len(counts)), 1.0 / pieces.size)
+
+    monkeypatch.setattr(language, "estimate", kept)
+    many = ["".join(chr(97 + k // 26**p % 26) for p in range(4)) for k in range(150_001)]
+    docs = spark.createDataFrame([(1, " ".join(many * 2), "en"), (2, "wort " + "漢" * 60, "zz")], "doc_id long, text string, lang string")
+    language.learn(docs, PIECES, F.lit(True))
+    assert len(seen["en"]) == 150_001 and seen["zz"] == {"wort": 1, "漢" * 48: 1, "漢" * 12: 1}
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.pieces_of(PIECES)
     p = np.random.default_rng(0).dirichlet(np.ones(pieces.size), 2).T

@@ -1,7 +1,7 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 The pieces are a fixed public vocabulary. Each language gives every piece a probability, estimated by expectation-
-maximisation on a bounded sample of labelled texts: a forward-backward pass over the lattice of all segmentations of a
+maximisation on all words of a bounded sample of labelled texts: a forward-backward pass over the lattice of all segmentations of a
 word yields expected counts. A text's likelihood in a language is the product over its words of the sum over all
 segmentations, by the forward algorithm; the prediction is the language with the largest posterior. Words are runs of
 letters, in lower case; they are scored once per worker and kept, within a bound, and lattices of many words are worked
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import appended, release, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Documents per language, and different words, that are learned from at most; rounds of estimation; pseudo-count.
-SAMPLE_DOCS, SAMPLE_WORDS, ROUNDS, PSEUDO = 500, 150_000, 4, 0.05
+#: Documents per language that are learned from at most; rounds of estimation; pseudo-count.
+SAMPLE_DOCS, ROUNDS, PSEUDO = 500, 4, 0.05
 #: Words that a worker keeps, and the length up to which words are worked on together.
 CACHE_WORDS, SHORT = 250_000, 48
 #: Words whose lattices are in memory together while probabilities are estimated.
@@ -213,7 +213,7 @@ def estimate(pieces: Pieces, counts: dict[str, Counter], rounds: int = ROUNDS) -
     return p
 
 
-def learn(docs: DataFrame, vocabulary: str, where, id_col="doc_id", text_col="text", lang_col="lang", sample_docs: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> dict:
+def learn(docs: DataFrame, vocabulary: str, where, id_col="doc_id", text_col="text", lang_col="lang", sample_docs: int = SAMPLE_DOCS) -> dict:
     """The model: languages, their shares, piece probabilities. where: the rows that may be learned from."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(where).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
@@ -228,12 +228,12 @@ def learn(docs: DataFrame, vocabulary: str, where, id_col="doc_id", text_col="te
         for batch in batches:
             found: dict[str, Counter] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-            flat = [(k, w, n) for k, c in found.items() for w, n in c.items() if len(w) <= SHORT]
+                # longer words by stretches, so that scripts without spaces are learned from as well
+                found.setdefault(lang, Counter()).update(w[at : at + SHORT] for w in LETTERS.findall(text.lower()) for at in range(0, len(w), SHORT))
+            flat = [(k, w, n) for k, c in found.items() for w, n in c.items()]
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
-    words = some.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.orderBy(F.desc("n"), "lang", "word").limit(sample_words).toArrow()
+    words = some.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
     counts = {k: Counter() for k in langs}
     for lang, word, n in zip(*(words[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
         counts[lang][word] = n
