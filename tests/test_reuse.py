@@ -114,3 +114,14 @@ def test_place_of_reuse_across_blocks(spark):
     g = from_arrays(spark, [0, 0, 0, 1, 0], [0, 1, 2, 2, 3], 4)
     gaps = {r["k"]: r["prev"] for r in reuse.reuse_gaps(reuse.access_stream(g, 1), 2).collect()}
     assert gaps == {0: None, 1: 0, 2: 1, 3: None, 4: 2}
+
+
+def test_registered_samples(spark, sf_dir):
+    """The registered query takes the operator's own number of samples."""
+    from vertexloom.plans import registry
+
+    g = registry.part_graph(spark, sf_dir)
+    expected = {tuple(r) for r in reuse.status_counts(reuse.sampled_distances(g)).collect()}
+    out = registry.QUERIES["rd_sampled"](spark, sf_dir)
+    names = reuse.status_counts(reuse.sampled_distances(g)).columns
+    assert {tuple(r) for r in out.select(*names).distinct().collect()} == expected

@@ -250,7 +250,7 @@ def predict_speedup(g):
 @graph_query()
 def rd_sampled(g):
     """The sampled histogram beside the exact one, and how the samples ended."""
-    found = reuse.sampled_distances(g, samples=4000)
+    found = reuse.sampled_distances(g)
     return reuse.sampled_histogram(found, FINE).crossJoin(F.broadcast(reuse.status_counts(found)))
 
 
