@@ -2,12 +2,15 @@
 
 Heuristic labellers vote good (1), bad (0) or abstain (-1) on each text. What they vote over the whole corpus is counted
 by pattern; from these counts expectation-maximisation estimates, without any true label, how often each labeller gives
-each vote to good and to bad texts, and how many texts are good. The posterior of a pattern is the label that the scorer
-learns: a logistic model over hashed byte 4-grams, as shares of the text, and hashed votes. It is trained on a bounded
-sample and scores every whole text.
-
-The decision is on the score: a text is kept at `threshold` or more. Null and empty texts get no votes, score 0 and are
-not kept. Equal texts get equal scores. With no texts at all there is nothing to learn from and no row.
+each vote to good texts and to each kind of bad ones, and how many texts are good. The posterior of a pattern is the label
+that the scorer learns: a logistic model over hashed byte 4-grams, as shares of the text, and hashed votes. It is trained
+on a bounded sample and scores every whole text.
+
+The decision is on the score: a text is kept at `threshold` or more. Null and empty texts, and texts of white space only,
+get no votes, score 0 and are not kept. Equal texts get equal scores, ids aren't looked at but for the sample's hash, in
+which the text takes part, so null, equal and repeated ids are as good as any. With no texts at all there is nothing to
+learn from and no row. Columns of the input pass through; one that has the name of a new column is kept with underscores
+before its name.
 """
 
 from __future__ import annotations
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 from .common import appended, release, table
 
 #: Hash buckets; texts the scorer is trained on at most, half of them of each posterior; rounds of either estimation.
-BUCKETS, SAMPLE, EM_ROUNDS, FIT_ROUNDS = 4096, 3000, 60, 300
+BUCKETS, SAMPLE, EM_ROUNDS, FIT_ROUNDS = 4096, 3000, 200, 300
+#: What estimation begins with: the share of good texts, and how often a labeller calls one of them bad.
+GOOD_SHARE, FALSE_ALARMS = 0.8, 0.002
 #: Bytes of a text that are hashed at a time.
 STRETCH = 1 << 18
 
@@ -80,28 +85,51 @@ def votes(text: str) -> str:
     )
 
 
-def fit_labellers(counts: dict[str, int], rounds: int = EM_ROUNDS) -> dict[str, float]:
-    """The posterior of good for each pattern of votes; counts: of patterns over the corpus."""
+def labeller_rates(counts: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
+    """The posterior of good for each pattern of votes, the shares of the kinds of text, and the labellers' rates by kind.
+
+    counts: of patterns over the corpus. Bad texts are bad in different ways that exclude one another, so that labellers
+    aren't independent among them: there is a kind for good texts, and one for each labeller, which begins with the texts
+    that this labeller calls bad and learns what the others say of them. Within a kind labellers are independent. rates:
+    kinds x labellers x (bad, good).
+    """
     patterns = [p for p in counts if set(p) != {"-"}]
+    many = len(LABELLERS)
+    shares = np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / many] * many)
+    begin = np.empty((many + 1, many, 2))
+    begin[0], begin[1:] = (FALSE_ALARMS, 1 - FALSE_ALARMS), (0.1, 0.9)
+    begin[np.arange(1, many + 1), np.arange(many)] = (0.95, 0.05)
+    rates = begin.copy()
     if not patterns:
-        return dict.fromkeys(counts, 0.0)
+        return dict.fromkeys(counts, 0.0), shares, rates
     n = np.array([counts[p] for p in patterns], float)
-    cast = np.array([["bg-".index(c) for c in p] for p in patterns])
-    # patterns x labellers x votes; who abstains says nothing, else short texts would be a class of their own
-    kinds = np.eye(3)[cast][:, :, :2]
-    # to begin with, labellers seldom call a good text bad
-    rates = np.empty((2, cast.shape[1], 2))
-    rates[1], rates[0], prior = (0.02, 0.98), (0.4, 0.6), 0.8
+    # patterns x labellers x votes; who abstains says nothing, else short texts would be a kind of their own
+    cast = np.eye(3)[np.array([["bg-".index(c) for c in p] for p in patterns])][:, :, :2]
+    # that labellers seldom call a good text bad is what good means here, so it weighs as much as half the texts
+    firm = np.array([n.sum() / 2] + [2.0] * many)[:, None, None]
+    floor = shares.copy()
     for _ in range(rounds):
-        odds = np.log(prior) - np.log1p(-prior) + (kinds * (np.log(rates[1]) - np.log(rates[0]))).sum((1, 2))
-        good = 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
-        for k, weight in ((1, n * good), (0, n * (1 - good))):
-            # pseudo-counts: a few, and on the side of the labeller's meaning
-            bias = np.array([0.2, 2.0]) if k else np.array([2.0, 1.0])
-            total = (kinds * weight[:, None, None]).sum(0) + bias
-            rates[k] = total / total.sum(1, keepdims=True)
-        prior = float(np.clip((n @ good) / n.sum(), 1e-4, 1 - 1e-4))
-    return dict.fromkeys(counts, 0.0) | dict(zip(patterns, good.tolist(), strict=True))
+        odds = np.log(shares) + np.einsum("pjv,kjv->pk", cast, np.log(rates))
+        belongs = np.exp(odds - odds.max(1, keepdims=True))
+        belongs /= belongs.sum(1, keepdims=True)
+        weight = belongs * n[:, None]
+        total = np.einsum("pk,pjv->kjv", weight, cast) + begin * firm
+        rates = total / total.sum(2, keepdims=True)
+        shares = (weight.sum(0) + floor) / (n.sum() + 1)
+    return dict.fromkeys(counts, 0.0) | dict(zip(patterns, belongs[:, 0].tolist(), strict=True)), shares, rates
+
+
+def fit_labellers(counts: dict[str, int], rounds: int = EM_ROUNDS) -> dict[str, float]:
+    """The posterior of good for each pattern of votes; counts: of patterns over the corpus."""
+    return labeller_rates(counts, rounds)[0]
+
+
+def accuracies(counts: dict[str, int]) -> dict[str, tuple[float, float]]:
+    """For each labeller the estimated shares of bad texts that it calls bad and of good ones that it calls good, of its
+    votes."""
+    _, shares, rates = labeller_rates(counts)
+    bad = shares[1:] / shares[1:].sum()
+    return {name: (float(bad @ rates[1:, i, 0]), float(rates[0, i, 1])) for i, name in enumerate(LABELLERS)}
 
 
 def shares(text: str) -> np.ndarray:
@@ -180,11 +208,13 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
                 p = votes(t)
                 y = posterior.get(p, 0.0)
                 if set(p) != {"-"} and h < share[y >= 0.5]:
-                    kept.append((p, y, shares(t).astype(np.float32).tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.string(), pa.float64(), pa.binary()))], names=["p", "y", "x"])
+                    kept.append((h / share[y >= 0.5], p, y, shares(t).astype(np.float32).tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in kept], t) for i, t in enumerate((pa.float64(), pa.string(), pa.float64(), pa.binary()))], names=["h", "p", "y", "x"])
 
-    u = (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
-    taken = rows.select(u, "text").mapInArrow(pick, "p string, y double, x binary").orderBy("p", "y", "x").limit(2 * sample).toArrow()
+    # by a hash of the text too, so that rows with equal or null ids are drawn one by one; of each label about sample / 2 are
+    # drawn, and what is beyond `sample` goes by the same hash
+    u = (F.pmod(F.xxhash64("id", "text", F.lit(5)), F.lit(1 << 30)) / float(1 << 30)).alias("u")
+    taken = rows.select(u, "text").mapInArrow(pick, "h double, p string, y double, x binary").orderBy("h", "p", "x").limit(sample).toArrow()
     x = np.zeros((len(taken), BUCKETS + 2 * len(LABELLERS)), np.float32)
     for i, (p, features) in enumerate(zip(taken["p"].to_pylist(), taken["x"], strict=True)):
         x[i, :BUCKETS] = np.frombuffer(features.as_buffer(), np.float32) * GRAM_SCALE
@@ -220,7 +250,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: str
             weak.append(float(label))
         return [pa.array(scores, pa.float64()), pa.array(weak, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())]
 
-    return appended(docs, [text_col], f"{names[0]} double, {names[1]} double, {names[2]} boolean", run)
+    return appended(docs, [text_col], f"`{names[0]}` double, `{names[1]}` double, `{names[2]}` boolean", run)
 
 
 def op8_quality(spark, sf_dir: str) -> DataFrame:
