@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -10,9 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset (tests), one made here."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset a folder is made, if all run in one process (a local master, as in tests); on a cluster a folder of
+    the driver's machine would be no use to executors, so that is an error.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or getattr(spark, "_vertexloom_shared", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='vertexloom-')}"
         spark.sparkContext.setCheckpointDir(found)
         spark._vertexloom_shared = found
@@ -20,20 +26,55 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else has; `Scratch` knows of it."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    for scratch in getattr(spark, "_vertexloom_scratch", ()):
+        scratch.paths.append(path)
+    return path
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage ends there and outlives lost executors."""
+def written(df: DataFrame, label: str, *replaced: DataFrame | None) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: its lineage ends there and outlives lost executors.
+
+    replaced: tables that this function made and that no plan needs once df is written; their files go.
+    """
     spark, path, schema = df.sparkSession, fresh_path(df.sparkSession, label), df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._vertexloom_path = path
+    for old in replaced:
+        drop_written(old)
+    return out
+
+
+def drop_written(df: DataFrame | None) -> None:
+    """Deletes the files of a table that `written` made, once no plan needs them; does nothing to others."""
+    path = getattr(df, "_vertexloom_path", None)
+    if path:
+        delete(df.sparkSession, path)
+
+
+class Scratch:
+    """with Scratch(spark) as scratch: tables written within go at its end, but those that are kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def __enter__(self) -> Scratch:
+        self.spark._vertexloom_scratch = [*getattr(self.spark, "_vertexloom_scratch", ()), self]
+        return self
 
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(getattr(df, "_vertexloom_path", None))
+        return df
 
-def drop_written(df: DataFrame) -> None:
-    """Deletes the files of a table that `written` made, once no plan needs them."""
-    spark = df.sparkSession
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for folder in {os.path.dirname(f) for f in df.inputFiles()}:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+    def __exit__(self, *_) -> None:
+        self.spark._vertexloom_scratch = [s for s in self.spark._vertexloom_scratch if s is not self]
+        for path in self.paths:
+            if path not in self.kept:
+                delete(self.spark, path)
