@@ -19,7 +19,6 @@ import json
 import re
 import sys
 from array import array
-from functools import lru_cache
 from itertools import accumulate
 
 import ahocorasick
@@ -28,15 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of
+from .common import held, slices, table, texts_of
 
 #: Added to the code of a word's last symbol: `a` at a word's end is another symbol than `a` within it.
 END = 0x1000
-#: Chunks of text whose codes a worker keeps, and the longest chunk kept; they bound its memory, not what it encodes.
-CACHE_CHUNKS, CACHE_CHARS = 200_000, 48
+#: Bytes of codes that a worker keeps, those of an entry besides key and value, and the longest chunk kept; they bound its
+#: memory, not what it encodes.
+CACHE_BYTES, SLOT, CACHE_CHARS = 72 << 20, 110, 48
 
-#: Compatible and incompatible pairs that a worker keeps.
-KNOWN_PAIRS = 300_000
+#: Compatible and incompatible pairs that a worker keeps; ids decoded at a time.
+KNOWN_PAIRS, STRETCH = 200_000, 1 << 16
 
 CHUNK = re.compile(r"[^ \n\r\t]+")
 
@@ -137,24 +137,34 @@ class BacktrackEncoder:
 
 
 class OffsetTable:
-    """The strings of all tokens end to end, and where each begins: decoding is slicing."""
+    """The strings of all tokens end to end, and where each begins: decoding is gathering bytes by place."""
 
     def __init__(self, strings: list[str], between: str):
         blob = [(s + between).encode() for s in strings]
         self.cut = len(between.encode())
-        self.blob = b"".join(blob)
-        self.offsets = [0, *accumulate(map(len, blob))]
+        self.blob = np.frombuffer(b"".join(blob), np.uint8)
+        self.offsets = np.array([0, *accumulate(map(len, blob))], np.int64)
 
-    def padded(self, ids) -> bytes:
+    def padded(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the tokens, each followed by the separator."""
-        blob, offsets = self.blob, self.offsets
-        return b"".join([blob[offsets[i] : offsets[i + 1]] for i in ids])
+        parts = []
+        for at in range(0, len(ids), STRETCH):
+            some = ids[at : at + STRETCH]
+            starts = self.offsets[some]
+            sizes = self.offsets[some + 1] - starts
+            ends = np.cumsum(sizes)
+            # each byte's place: its token's, and how far it is behind the token's first byte
+            places = np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])
+            parts.append(self.blob[places].tobytes())
+        return b"".join(parts)
+
+    def decoded(self, ids) -> bytes:
+        """UTF-8 of the tokens with the separator between them."""
+        found = self.padded(np.asarray(ids, np.int64))
+        return found[: len(found) - self.cut] if found and self.cut else found
 
     def decode(self, ids) -> str:
-        return self.trimmed(self.padded(ids)).decode("utf-8", "replace")
-
-    def trimmed(self, padded: bytes) -> bytes:
-        return padded[: len(padded) - self.cut] if padded and self.cut else padded
+        return self.decoded(ids).decode("utf-8", "replace")
 
 
 def little_endian(ids: list[int]) -> bytes:
@@ -164,35 +174,28 @@ def little_endian(ids: list[int]) -> bytes:
     return codes.tobytes()
 
 
-#: Number of tokens, ids as little-endian 32-bit integers, and the decoded text with a separator behind each token.
-Coded = tuple[int, bytes, bytes]
-
-
-def joined(parts: list[Coded]) -> Coded:
-    if not parts:
-        return 0, b"", b""
-    counts, ids, words = zip(*parts, strict=True)
-    return sum(counts), b"".join(ids), b"".join(words)
-
-
 class Recent:
-    """What was made lately: when the young generation is full it becomes the old one, and what is asked for stays young."""
+    """Codes made lately, within a number of bytes: when the young generation has half of them it becomes the old one, and
+    what is asked for stays young."""
 
-    def __init__(self):
-        self.young: dict[str, Coded] = {}
-        self.old: dict[str, Coded] = {}
+    def __init__(self, room: int = CACHE_BYTES):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.room, self.used = room // 2, 0
 
-    def get(self, key: str) -> Coded | None:
+    def get(self, key: str) -> bytes | None:
         made = self.young.get(key)
         if made is None and (made := self.old.get(key)) is not None:
             self.put(key, made)
         return made
 
-    def put(self, key: str, made: Coded) -> None:
-        if len(self.young) >= CACHE_CHUNKS:
+    def put(self, key: str, made: bytes) -> None:
+        self.used += sys.getsizeof(key) + sys.getsizeof(made) + SLOT
+        if self.used > self.room:
             # the dictionary itself stays, as loops hold on to it
             self.old = dict(self.young)
             self.young.clear()
+            self.used = 0
         self.young[key] = made
 
 
@@ -254,21 +257,22 @@ class WordTokenizer:
             a, b = rule.split(" ") if isinstance(rule, str) else rule
             pairs.setdefault((vocab[a], vocab[b]), vocab[a + b])
         self.encoder, self.table = BacktrackEncoder(strings, pairs), OffsetTable(names, " ")
-        self.chunks, self.words = Recent(), Recent()
+        self.recent = Recent()
         self.latin = latin_splitter(spec)
         self.symbols = byte_symbols()
 
-    def word(self, word: str) -> Coded:
+    def word(self, word: str) -> bytes:
         """One word as the splitter gives it."""
-        made = self.words.get(word)
+        # a word of plain small letters is its own chunk; no chunk holds a line end
+        key = word if word.isascii() and word.isalpha() else "\n" + word
+        made = self.recent.get(key)
         if made is None:
-            ids = self.encoder.encode(word[:-1] + chr(ord(word[-1]) + END))
-            made = (len(ids), little_endian(ids), self.table.padded(ids))
+            made = little_endian(self.encoder.encode(word[:-1] + chr(ord(word[-1]) + END)))
             if len(word) <= CACHE_CHARS:
-                self.words.put(word, made)
+                self.recent.put(key, made)
         return made
 
-    def plain(self, text: str) -> Coded:
+    def plain(self, text: str) -> bytes:
         """A text without special tokens."""
         if self.latin and LATIN.fullmatch(text):
             words = self.latin.findall(text.lower())
@@ -276,59 +280,60 @@ class WordTokenizer:
                 words = [w if w.isascii() else "".join(map(self.symbols.__getitem__, w.encode())) for w in words]
         else:
             words = [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text)) if w]
-        return joined([self.word(w) for w in words])
+        return b"".join([self.word(w) for w in words])
 
-    def chunk(self, text: str) -> Coded:
+    def chunk(self, text: str) -> bytes:
         """A chunk without white space."""
         tail = None
         if self.latin:
             if text.isascii() and text.isalpha():
-                return self.kept(text, self.word(text.lower()))
+                low = text.lower()
+                return self.word(text) if low == text else self.kept(text, self.word(low))
             tail = TAIL.fullmatch(text)
         if tail:
             # letters and the marks behind them are never one word
-            made = joined([self.chunks.get(t) or self.chunk(t) for t in tail.groups()])
+            made = b"".join([self.recent.get(t) or self.chunk(t) for t in tail.groups()])
         elif self.special and any(x in text for x in self.added):
-            ids = [(1, little_endian([i]), self.table.padded([i])) if (i := self.added.get(x)) is not None else self.plain(x) for x in self.special.split(text) if x]
-            made = joined(ids)
+            made = b"".join([little_endian([i]) if (i := self.added.get(x)) is not None else self.plain(x) for x in self.special.split(text) if x])
         else:
             made = self.plain(text)
         return self.kept(text, made)
 
-    def kept(self, text: str, made: Coded) -> Coded:
+    def kept(self, text: str, made: bytes) -> bytes:
         if len(text) <= CACHE_CHARS:
-            self.chunks.put(text, made)
+            self.recent.put(text, made)
         return made
 
-    def encode(self, text: str) -> Coded:
-        """A whole text, with the last separator off.
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text, as little-endian 32-bit integers.
 
         No token spans white space and normalising never joins across it, so a text is the sum of its chunks.
         """
-        get, older, make = self.chunks.young.get, self.chunks.get, self.chunk
-        n, ids, words = joined([get(c) or older(c) or make(c) for c in CHUNK.findall(text)])
-        return n, ids, self.table.trimmed(words)
-
+        get, older, make = self.recent.young.get, self.recent.get, self.chunk
+        return b"".join([get(c) or older(c) or make(c) for c in CHUNK.findall(text)])
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+    def decode(self, ids: bytes) -> bytes:
+        """UTF-8 of the text that ids, as `encode` gives them, stand for."""
+        return self.table.decoded(np.frombuffer(ids, "<u4"))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
     """For each row: its id, n_tokens, ids (array of int) if keep_ids, ids_sha256, decoded_sha256."""
     out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), *([("ids", pa.list_(pa.int32()))] if keep_ids else []), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    state = ("bpe", vocabulary)
 
     def run(batches):
-        coder = tokenizer(vocabulary)
-        for batch in slices(batches):
-            columns = [[] for _ in out]
-            for text in texts_of(batch.column(1)):
-                n, ids, decoded = coder.encode(text)
-                row = [n, *([np.frombuffer(ids, "<u4").astype(np.int32)] if keep_ids else []), hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()]
-                for column, value in zip(columns[1:], row, strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(out)[1:], strict=True))], schema=out)
+        coder = held(state, lambda: WordTokenizer(vocabulary))
+        for batch in slices(batches, holding=state):
+            coded = [coder.encode(t) for t in texts_of(batch.column(1))]
+            counts = np.array([len(c) // 4 for c in coded], np.int64)
+            columns = [batch.column(0), pa.array(counts)]
+            if keep_ids:
+                ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32))))
+            columns.append(pa.array([hashlib.sha256(c).hexdigest() for c in coded], pa.string()))
+            columns.append(pa.array([hashlib.sha256(coder.decode(c)).hexdigest() for c in coded], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema=out)
 
     ids = "ids array<int>, " if keep_ids else ""
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id long, n_tokens long, {ids}ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -8,14 +8,14 @@ letters, in lower case; they are scored once per worker and kept, within a bound
 on together in numpy.
 
 Null texts and texts without a letter are `und` with score 0. Rows with a null language are never learned from. If
-nothing can be learned from, every text is `und`. Any other column may hold nulls; ids may repeat.
+nothing can be learned from, every text is `und`. Any other column may hold nulls; ids may repeat or be null. An empty
+table gives no rows. A column of the input that has the name of a new one is kept with underscores before its name.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from functools import lru_cache
 from itertools import chain
 
 import ahocorasick
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, release, table
+from .common import appended, held, release, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Documents per language that are learned from at most; rounds of estimation; pseudo-count.
@@ -33,6 +33,9 @@ SAMPLE_DOCS, ROUNDS, PSEUDO = 500, 4, 0.05
 CACHE_WORDS, SHORT = 250_000, 48
 #: Words whose lattices are in memory together while probabilities are estimated.
 WORDS_AT_ONCE = 10_000
+#: The fit of a text: nats added for short texts; the quantile of fits of labelled texts, and nats a letter below it, at which
+#: texts count as explained by no language.
+ALLOWANCE, LOW_FIT, FIT_MARGIN = 20.0, 0.01, 2.0
 #: Probabilities are scaled by this for each letter, so that products over a short word stay in range.
 SCALE = 24.0
 
@@ -144,8 +147,10 @@ class Scorer:
         return np.log(alpha[len(word)]) + logs
 
     def scores(self, texts: list[str]) -> list[np.ndarray | None]:
-        """For each text the sum over its words, None for texts without any. Words are learned for many texts at a time."""
+        """For each text the sum over its words and, last, its letters; None for texts without any. Words are learned for
+        many texts at a time."""
         out: list[np.ndarray | None] = []
+        letters: list[int] = []
         waiting: list[tuple[int, list[str]]] = []
         room = at_once = CACHE_WORDS // 4
 
@@ -158,6 +163,7 @@ class Scorer:
 
         for k, text in enumerate(texts):
             words = LETTERS.findall(text.lower())
+            letters.append(sum(map(len, words)))
             out.append(np.zeros(self.p.shape[1]) if words else None)
             if words and max(map(len, words)) > SHORT:
                 for w in words:
@@ -172,7 +178,7 @@ class Scorer:
                 waiting.append((k, part))
                 room -= len(part)
         settle()
-        return out
+        return [None if x is None else np.append(x, n) for x, n in zip(out, letters, strict=True)]
 
     def learn(self, words: list[str]) -> None:
         """Makes the words known; all that were known before go if there is no room."""
@@ -187,9 +193,8 @@ class Scorer:
         self.index.update(zip(new, range(at, at + len(new)), strict=True))
 
 
-@lru_cache(maxsize=2)
 def pieces_of(path: str) -> Pieces:
-    return Pieces(path)
+    return held(("pieces", path), lambda: Pieces(path))
 
 
 def estimate(pieces: Pieces, counts: dict[str, Counter], rounds: int = ROUNDS) -> np.ndarray:
@@ -213,16 +218,26 @@ def estimate(pieces: Pieces, counts: dict[str, Counter], rounds: int = ROUNDS) -
     return p
 
 
+def labelled_rows(docs: DataFrame, where, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    return rows.where(where).where("lang is not null and text is not null")
+
+
+def sampled(rows: DataFrame, sizes: dict[str, int], sample_docs: int) -> DataFrame:
+    """lang, text of about sample_docs rows of each language, by a hash of id and text: rows that share an id are drawn
+    one by one."""
+    share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))]), F.col("lang"))
+    return rows.where(F.pmod(F.xxhash64("id", "text", F.lit(10)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+
+
 def learn(docs: DataFrame, vocabulary: str, where, id_col="doc_id", text_col="text", lang_col="lang", sample_docs: int = SAMPLE_DOCS) -> dict:
     """The model: languages, their shares, piece probabilities. where: the rows that may be learned from."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(where).where("lang is not null and text is not null")
+    rows = labelled_rows(docs, where, id_col, text_col, lang_col)
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "vocabulary": vocabulary}
-    # a hash of the id picks about sample_docs documents of each language
-    share = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, sample_docs / sizes[k])))]), F.col("lang"))
-    some = rows.where(F.pmod(F.xxhash64("id", F.lit(10)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    some = sampled(rows, sizes, sample_docs)
 
     def count(batches):
         for batch in batches:
@@ -241,11 +256,16 @@ def learn(docs: DataFrame, vocabulary: str, where, id_col="doc_id", text_col="te
     p = estimate(pieces_of(vocabulary), counts)
     del words, counts
     release()
-    return {"langs": langs, "prior": np.array([sizes[k] / total for k in langs]), "p": p, "vocabulary": vocabulary}
+    return {"langs": langs, "sizes": sizes, "prior": np.array([sizes[k] / total for k in langs]), "p": p, "vocabulary": vocabulary}
+
 
+def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", fit_name: str | None = None) -> DataFrame:
+    """The rows with the predicted language and its posterior probability, and, if it has a name, the fit.
 
-def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score") -> DataFrame:
-    """The rows with the predicted language and its posterior probability."""
+    The fit is the text's log-likelihood a letter in the predicted language, after an allowance for short texts: unlike the
+    posterior it is low where no language explains the text. It is null without letters or languages. Columns of the input
+    that have one of these names are kept with underscores before it.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     state: list[Scorer] = []
 
@@ -254,20 +274,35 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_name: str
         langs = model["langs"]
         if langs and not state:
             state.append(Scorer(pieces_of(model["vocabulary"]), model["p"]))
-        names, scores = [], []
+        names, scores, fits = [], [], []
         for total in state[0].scores([x or "" for x in columns[0].to_pylist()]) if langs else [None] * len(columns[0]):
             if total is None:
                 names.append("und")
                 scores.append(0.0)
+                fits.append(None)
             else:
+                total, letters = total[:-1], total[-1]
+                fits.append(float((total.max() + ALLOWANCE) / letters))
                 total = total + np.log(model["prior"])
                 odds = np.exp(total - total.max())
                 k = int(total.argmax())
                 names.append(langs[k])
                 scores.append(float(odds[k] / odds.sum()))
-        return [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+        made = [pa.array(names, pa.string()), pa.array(scores, pa.float64())]
+        return [*made, pa.array(fits, pa.float64())] if fit_name else made
+
+    fields = f"`{lang_name}` string, `{score_name}` double" + (f", `{fit_name}` double" if fit_name else "")
+    return appended(docs, [text_col], fields, run, holding=("pieces", model["vocabulary"]))
+
 
-    return appended(docs, [text_col], f"{lang_name} string, {score_name} double", run)
+def least_fit(docs: DataFrame, model: dict, where, id_col="doc_id", text_col="text", lang_col="lang", sample_docs: int = SAMPLE_DOCS, quantile: float = LOW_FIT, margin: float = FIT_MARGIN) -> float | None:
+    """The fit below which no learned language explains a text: a margin under what nearly all sampled texts reach; None
+    if there are no languages."""
+    if not model["langs"]:
+        return None
+    some = sampled(labelled_rows(docs, where, id_col, text_col, lang_col), model["sizes"], sample_docs)
+    low = predict(some.select("text"), model, fit_name="fit").agg(F.percentile("fit", F.lit(quantile))).first()[0]
+    return None if low is None else low - margin
 
 
 def held_out(id_col: str = "doc_id"):
