@@ -30,7 +30,7 @@ def with_positions(df: DataFrame, *order: Column | str, name: str = "k", start:
     return placed.withColumn(name, F.col("_start") + F.col("_at") + start).drop("_part", "_at", "_start")
 
 
-def running_sum(df: DataFrame, key: str, value: str, name: str, block: int = BLOCK, inclusive: bool = False, ties: list[str] | None = None) -> DataFrame:
+def running_sum(df: DataFrame, key: str, value: str, name: str, block: int = BLOCK, inclusive: bool = False, ties: list[str] | None = None, kind: str = "long") -> DataFrame:
     """df with the sum of `value` over the rows before (or up to) it by the whole number `key`; blocks of keys are summed first."""
     rows = df.withColumn("_block", F.expr(f"`{key}` div {block}"))
     to = 0 if inclusive else -1
@@ -39,7 +39,7 @@ def running_sum(df: DataFrame, key: str, value: str, name: str, block: int = BLO
     sums = sums.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     within = Window.partitionBy("_block").orderBy(key, *(ties or [])).rowsBetween(Window.unboundedPreceding, to)
     rows = rows.withColumn(name, F.coalesce(F.sum(value).over(within), F.lit(0))).join(sums, "_block")
-    return rows.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_block", "_before")
+    return rows.withColumn(name, (F.col(name) + F.col("_before")).cast(kind)).drop("_block", "_before")
 
 
 def with_previous(stream: DataFrame, group: str, place: str = "k", block: int = BLOCK, previous: str = "prev", following: str | None = None) -> DataFrame:
