@@ -27,7 +27,7 @@ from .common import appended, release, table
 #: Hash buckets; texts the scorer is trained on at most, half of them of each posterior; rounds of either estimation.
 BUCKETS, SAMPLE, EM_ROUNDS, FIT_ROUNDS = 4096, 3000, 200, 300
 #: What estimation begins with: the share of good texts, and how often a labeller calls one of them bad.
-GOOD_SHARE, FALSE_ALARMS = 0.8, 0.002
+GOOD_SHARE, FALSE_ALARMS = 0.8, 0.01
 #: Bytes of a text that are hashed at a time.
 STRETCH = 1 << 18
 
@@ -94,7 +94,7 @@ def labeller_rates(counts: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[dic
     kinds x labellers x (bad, good).
     """
     patterns = [p for p in counts if set(p) != {"-"}]
-    many = len(LABELLERS)
+    many = len(patterns[0]) if patterns else len(LABELLERS)
     shares = np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / many] * many)
     begin = np.empty((many + 1, many, 2))
     begin[0], begin[1:] = (FALSE_ALARMS, 1 - FALSE_ALARMS), (0.1, 0.9)
@@ -105,8 +105,8 @@ def labeller_rates(counts: dict[str, int], rounds: int = EM_ROUNDS) -> tuple[dic
     n = np.array([counts[p] for p in patterns], float)
     # patterns x labellers x votes; who abstains says nothing, else short texts would be a kind of their own
     cast = np.eye(3)[np.array([["bg-".index(c) for c in p] for p in patterns])][:, :, :2]
-    # that labellers seldom call a good text bad is what good means here, so it weighs as much as half the texts
-    firm = np.array([n.sum() / 2] + [2.0] * many)[:, None, None]
+    # that labellers seldom call a good text bad is what good means here, so it weighs more than a few texts
+    firm = np.array([2.0 + n.sum() / 300] + [2.0] * many)[:, None, None]
     floor = shares.copy()
     for _ in range(rounds):
         odds = np.log(shares) + np.einsum("pjv,kjv->pk", cast, np.log(rates))
