@@ -191,10 +191,13 @@ def searched(spark, rows, k=5):
     return sorted(tuple(r) for r in topk.search(df, F.col("id") % 20 == 0, k).select("query_id", "rank", "vec_id", "score").collect())
 
 
-def test_search(spark, monkeypatch):
-    monkeypatch.setattr(topk, "PART", 40)
-    monkeypatch.setattr(topk, "BLOCK", 3)
+@pytest.mark.parametrize("side", [64, 8 << 20])
+def test_search(spark, monkeypatch, side):
+    monkeypatch.setattr(topk, "SIDE_BYTES", side)
+    monkeypatch.setattr(topk, "LEAST_SIDE", 16)
+    monkeypatch.setattr(topk, "STRIP", 3)
     monkeypatch.setattr(topk, "CHUNK", 16)
+    monkeypatch.setattr(topk, "PROBES", 30)
     rng = np.random.default_rng(0)
     common = rng.normal(size=8).astype(np.float32).tolist()
     rows = [(i, common if i % 3 == 0 else rng.normal(size=8).astype(np.float32).tolist()) for i in range(150)]
@@ -212,9 +215,39 @@ def test_search_few_and_large(spark):
 def test_bounds_hold():
     rng = np.random.default_rng(1)
     q, x = rng.normal(size=(20, 13)), rng.normal(size=(30, 13))
-    for n in topk.LEVELS:
-        (qm, qs), (xm, xs) = topk.statistics(q, n), topk.statistics(x, n)
-        assert (qm @ xm.T + qs @ xs.T >= q @ x.T - 1e-9).all()
+    for energy in (np.full(13, 1 / 13), topk.turned(x)[1], np.eye(13)[0], np.eye(13)[12]):
+        for n in (*topk.LEVELS, 13, 40):
+            cuts = topk.cuts_of(energy, n)
+            assert cuts[0] == 0 and cuts[-1] == 13 and len(cuts) == min(n, 13) + 1 and (np.diff(cuts) > 0).all()
+            assert (topk.statistics(q, cuts) @ topk.statistics(x, cuts).T >= q @ x.T - 1e-9).all()
+    directions, energy = topk.turned(x)
+    assert np.allclose((q @ directions) @ (x @ directions).T, q @ x.T) and energy.sum() == pytest.approx(1) and (np.diff(energy) <= 0).all()
+
+
+def test_most_pairs_are_dropped_by_bounds():
+    """Vectors with energy in some directions: coarse to fine, each level leaves fewer pairs, and few are computed exactly."""
+    rng = np.random.default_rng(2)
+    x = np.floor(64 * rng.normal(size=(4000, 32)) / np.arange(1, 33) @ np.linalg.qr(rng.normal(size=(32, 32)))[0])
+    ids, good, counts = np.arange(len(x)), np.ones(len(x), bool), []
+    scores = (x[::20] @ x.T).astype(int)
+    scores[np.arange(200), np.arange(0, 4000, 20)] = -(10**9)
+    floor = np.sort(scores[:, :400], 1)[:, -20]
+    found = topk.best(ids[::20], x[::20], ids, x, 20, good[::20], good, floor, *topk.turned(x), counts)
+    expected = [(20 * q, int(c), int(row[c])) for q, row in enumerate(scores) for c in np.lexsort((ids, -row))[:20]]
+    assert sorted(found) == sorted(expected)
+    assert counts == sorted(counts, reverse=True) and counts[-1] < counts[0] / 10
+
+
+def test_huge_values_slow_none_but_their_own(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(60)] + [(60, [2.0**100, 1.0, 0.0, 0.0, 0.0, -1024.0]), (61, [-(2.0**120)] * 6), (62, [2.0**40] * 6)]
+    held = [(q, r, i, max(-(1 << 63), min((1 << 63) - 1, s))) for q, r, i, s in brute_search(rows, 100)]
+    # scores beyond 64 bits are held at the largest, where smaller ids come first
+    expected = []
+    for q in sorted({q for q, *_ in held}):
+        top = sorted((-s, i) for p, _, i, s in held if p == q)[:5]
+        expected += [(q, r + 1, i, -s) for r, (s, i) in enumerate(top)]
+    assert searched(spark, rows) == expected
 
 
 # mixing
@@ -234,7 +267,8 @@ def brute_targets(sizes, weights, share, limit):
 
 
 def test_mixing(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "BINS", 16)
+    monkeypatch.setattr(mixing, "ROUND_BITS", 4)
+    monkeypatch.setattr(mixing, "EDGE", 4)
     rng = random.Random(1)
     sources = [None, "a", "b", "é", "Z", "𝔷"]
     docs = [(i, "w " * rng.randrange(1, 30), "a" if i % 3 == 0 else rng.choice(sources)) for i in range(600)] + [(None, None, "a"), (7, "", None)]
@@ -258,6 +292,45 @@ def test_mixing(spark, monkeypatch):
     assert out.columns == df.columns and all(abs(words[s] - expected[s]) <= 30 for s in sizes)
 
 
+def test_inclusion_follows_the_odds(spark):
+    """Over many seeds: how often a document gets one more copy is its inclusion odds, which are unequal."""
+    rng = random.Random(4)
+    docs = [(i, "w " * rng.choice([1, 3, 20, 60, 200]), "ab"[i % 2]) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1).cache()
+    extra, odds, seeds = Counter(), {}, 12
+    for seed in range(seeds):
+        for r in mixing.mix(df, weights=(3.0, 2.0), total_share=0.9, seed=seed).collect():
+            extra[r["source"], r["size"]] += r["copies"] / seeds
+            odds.setdefault((r["source"], r["size"]), []).append(r["odds"])
+    for key, p in odds.items():
+        own = np.array(p[: len(p) // seeds])
+        assert len(set(p)) == 1 and abs(extra[key] - own.sum()) < 4.5 * np.sqrt((own * (1 - own)).sum() / seeds) + 1
+    for s in "ab":
+        mine = [odds[k][0] for k in sorted(odds) if k[0] == s]
+        assert mine == sorted(mine) and (mine[0] < mine[-1] or mine[0] in (0, 1))
+
+
+def test_rows_alike_at_the_cut(spark, monkeypatch):
+    """A source of one text many times: as many rows as the target needs are taken, whole lots or parts of them."""
+    monkeypatch.setattr(mixing, "EDGE", 16)
+    df = spark.createDataFrame([(1, "a b c", "x")] * 300 + [(None, "d e", None)] * 50 + [(2, "f", "y")], "doc_id long, text string, source string").repartition(5)
+    rows = mixing.mix(df, weights=(1.0,), total_share=0.5).collect()
+    assert len(rows) == 351
+    for r in {(r["source"], r["target"], r["size"]) for r in rows}:
+        assert abs(sum(x["size"] * x["copies"] for x in rows if x["source"] == r[0]) - r[1]) <= r[2] / 2 + 1e-9
+    assert mixing.mixed_rows(df, weights=(1.0,), total_share=0.5).count() == sum(r["copies"] for r in rows)
+
+
+def test_many_sources_have_the_same_targets(spark, monkeypatch):
+    sizes = [(None if i == 9 else f"s{i:03}", (i * 37) % 91) for i in range(60)]
+    df = spark.createDataFrame(sizes, "source string, source_size long").repartition(4)
+    one = rows_of(mixing.targets(df, [5.0, 2.0, 1.0], 1.5, 2.0))
+    monkeypatch.setattr(mixing, "EDGE", 4)
+    many = rows_of(mixing.targets(df, [5.0, 2.0, 1.0], 1.5, 2.0))
+    expected = brute_targets(dict(sizes), [5.0, 2.0, 1.0], 1.5, 2.0)
+    assert one == many and all(t == pytest.approx(expected[s]) for s, _, t in one)
+
+
 def test_odd_mixing(odd, crowded, empty):
     assert mixing.mix(odd).count() == odd.count() and mixing.mix(empty).count() == 0 and mixing.mixed_rows(empty).count() == 0
     assert mixing.mixed_rows(crowded).columns == crowded.columns
