@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from vertexloom.llm import html_text, mixing, sharding, simhash, topk, warc
+from vertexloom.llm import html_text, mixing, pages_by_build, sharding, simhash, topk, warc
 from vertexloom.llm.common import fresh_path, table
 
 from .conftest import DE, EN, rows_of
@@ -141,12 +142,56 @@ def test_containers_with_never_words():
         assert html_text.extract(f"<article>{body}</article>{junk}") == text, junk
 
 
-@pytest.mark.parametrize("index", range(len(html_text.labelled_pages())))
-def test_labelled_pages(index):
-    page = html_text.labelled_pages()[index]
-    marked = re.search(r"\[\[(.*)\]\]", page, re.S)[1]
-    blocks = [re.sub(r"\s+", " ", re.sub("<[^>]*>", "", b)).strip() for b in re.split(r"</?(?:p|h1|li|ul|blockquote)>", marked)]
-    assert html_text.extract(page.replace("[[", "").replace("]]", "")) == "\n".join(b for b in blocks if b)
+def test_pages_of_other_builds():
+    """Pages drawn with another seed than those learned from: blocks found of blocks there are, and the other way round."""
+    there = found = both = 0
+    for page, spans, text in pages_by_build.labelled_pages(300, 99):
+        assert [page[a:b] for a, b in spans][0].split()[0] in page and spans == sorted(spans)
+        own, got = Counter(text.split("\n")), Counter(html_text.extract(page).split("\n"))
+        there, found, both = there + own.total(), found + got.total(), both + (own & got).total()
+    assert both / there > 0.97 and both / found > 0.96
+
+
+def test_weights_decide():
+    page = "<nav><ul><li><a href=/>Home</a></li></ul></nav><div class=ad>Buy it now</div><article><h1>The river rose</h1><p>It was the end of it.</p></article><footer>All of us</footer>"
+    weights = html_text.default_weights()
+    assert html_text.extract(page) == "The river rose\nIt was the end of it." and html_text.extract(page, {}) == ""
+    turned = {k: v if k.startswith("tag:") else -v for k, v in weights.items()}
+    assert "river" not in html_text.extract(page, turned) and html_text.extract(page, turned)
+    # learned from pages where what is called an advert is the text, it is the text
+    pages = []
+    for k in range(40):
+        text = f"<p>word {'more ' * (k % 7)}end</p>"
+        html = f"<article><h1>Top</h1>{text}</article><div class=ad>"
+        pages.append((f"{html}{text}</div>", [(len(html), len(html) + len(text))]))
+    assert html_text.extract("<article><h1>Top</h1><p>word here end</p></article><div class=ad><p>what it says</p></div>", html_text.learn(pages)) == "what it says"
+
+
+def test_best_run_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(300):
+        scores = [rng.choice([-3.0, -1.0, -0.5, 0.0, 1.0, 2.5]) for _ in range(rng.randrange(12))]
+        sums = {(a, b): sum(scores[a : b + 1]) for a in range(len(scores)) for b in range(a, len(scores))}
+        best, run = max(sums.values(), default=0), html_text.best_run(scores)
+        assert run is None if best <= 0 else sums[run] == best
+
+
+@pytest.mark.parametrize("page", ["<a " * 350_000, "<b>" * 20_000 + "x" + "</i>" * 20_000, '<a ="> ' * 150_000, "<p><li>" + "<b>" * 20_000 + "<hr>" * 20_000, "<div class=a>" * 50_000, "<" * 500_000, "<!--" * 200_000, "<script>" * 100_000, "<object>" * 50_000])
+def test_hostile_pages_take_linear_time(page):
+    html_text.default_weights()
+    began = time.perf_counter()
+    html_text.extract(page)
+    assert time.perf_counter() - began < 6
+
+
+def test_elements_without_an_end():
+    body = "<h1>The river rose again</h1><p>It was the end of it.</p>"
+    for junk in ("<svg/>", "<object data=x>", "<canvas id=c>", "<video src=v>", "<iframe src=x>", "<object></object>", "<template/>"):
+        assert html_text.extract(f"<div>{junk}{body}</div>") == "The river rose again\nIt was the end of it.", junk
+    for o in ('div class="page has-sidebar"><article', 'div id="main-search-results"', 'article><div class="share-price content"'):
+        assert html_text.extract(f"<{o}>{body}") == "The river rose again\nIt was the end of it.", o
+    assert html_text.extract(f'<article>{body}<p class="alert">Mind the water.</p></article>').endswith("Mind the water.")
+    assert html_text.extract(f"<article>{body}<p>AT&amp;T R&am<b>p;D</b></p></article>").endswith("AT&T R&amp;D")
 
 
 def test_pieces_that_never_belong():
@@ -171,6 +216,13 @@ def test_pages(spark, sf_dir):
     assert out.count() == table(spark, sf_dir, "pages").count() and out.where("n_chars <> char_length(text)").isEmpty()
     rows = spark.createDataFrame([(1, None), (2, ""), (None, "<p>x</p>")], "page_id long, html string")
     assert rows_of(html_text.extract_pages(rows).select("page_id", "text", "n_chars"))[:2] == [(1, "", 0), (2, "", 0)]
+    assert html_text.extract_pages(rows.limit(0)).count() == 0
+    # clashing names, repeated and equal rows
+    again = rows.unionByName(rows).withColumns({"text": F.lit("mine"), "N_CHARS": F.lit(-1), "_text": F.lit("too")})
+    found = html_text.extract_pages(again)
+    assert found.columns == ["page_id", "html", "__text", "_N_CHARS", "_text", "text", "n_chars"]
+    assert rows_of(found.select("page_id", "text", "n_chars").distinct()) == rows_of(html_text.extract_pages(rows).select("page_id", "text", "n_chars"))
+    assert found.where("__text <> 'mine' or _text <> 'too'").isEmpty() and found.count() == 6
 
 
 # search

@@ -1,280 +1,381 @@
-"""Main text of web pages: the maximum-scoring run of words and tags.
+"""Main text of web pages: the maximum-scoring run of words and tags, with scores learned from labelled pages.
 
-A page is read as a row of words and tags. Words score positive and tags negative: the scores are log odds, learned from
-labelled pages, of lying in the main text, given where the word or tag stands (within a link, a heading, an article, an
-element that by name, class or role is a menu, notice, advert and so on). A linear scan finds the contiguous run with
-the largest sum. Elements that are never main text are left out of the run, and what remains is put together by block.
+A page is read as a row of words and tags. What stands above a word (elements, words in their classes, ids and roles, links,
+headings, whether the page has an article elsewhere) gives the log odds that it is main text, by a logistic model that is
+learned from labelled pages. Where they are positive they are the word's score; elsewhere the word is no main text and
+scores 0. Tags score negative, by how seldom tags of their sort lie within the main text of labelled pages; those around
+and within what is no main text score 0, so that no amount of it parts a text. A linear scan finds the contiguous run with
+the largest sum; its words that are main text are put together by block.
+
+The labelled pages (`pages_by_build.py`) are drawn at random from many builds, with a fixed seed; `learn` takes any others.
 
 Null and empty pages, and pages without a word of main text, give the empty text. Broken markup is read on: a tag that
-never ends is text, an element that never closes ends with its parent, scripts and comments that never close end with
-the page. Text is kept whole, however long.
+never ends is text, quotes that don't close are no quotes from there on, an element that never closes ends with its parent,
+scripts and comments that never close end with the page. Reading takes time in proportion to the page, whatever it holds.
+Text is kept whole, however long. Equal pages give equal texts, ids aren't looked at. An empty table gives no rows. A column
+of the input that has the name of a new one is kept with underscores before its name.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections import Counter
+from collections.abc import Iterable
+from dataclasses import dataclass, field
 from functools import lru_cache
 from math import log
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import appended, table
+from .pages_by_build import MAIN, labelled_pages
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|math|iframe|object|canvas|textarea)\b[^>]*+>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|hidden|aria-hidden|itemprop|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?=[\s\"'/]|$)", re.I)
+#: Words of a name: runs of letters, cut before a capital that follows a small letter.
+PARTS = re.compile(r"[a-z]+|[A-Z]+[a-z]*")
+SPACES = re.compile(r"\s+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose content is read up to their end tag, whatever it holds.
+RAW = frozenset("script style textarea title xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold blocks rather than text; paragraphs and the like are a kind of their own.
 FRAMES = frozenset("body center dd div dl dt main section table tbody td th thead tr article".split())
-HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Elements that are never main text, and words in a class, id or role that say the same.
-NEVER = frozenset("nav footer aside form button select option dialog menu head title input label fieldset video audio".split())
-NEVER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead cookie cookies consent gdpr notice notices alert "
-    "popup modal overlay newsletter subscribe signup login search social share sharing related recommended recommendations comment comments reply replies respond disqus pagination pager toolbar widget skip complementary contentinfo".split()
-)
-MAIN_WORDS = frozenset("article content entry post story main body text articlebody".split())
-#: Of these, those that end a form or another container that only seems to be never main text, if a name holds no others.
-CORE_WORDS = frozenset("article content main articlebody".split())
-#: With one of these behind it, a never word tells what a container has or not, rather than what it is.
-STATES = frozenset("enabled disabled open opened closed on off active inactive".split())
-#: Elements that an unclosed paragraph or list item ends at.
-ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
-SPACES = re.compile(r"\s+")
-WORDS = re.compile(r"\S+")
-
-
-def zone_of(name: str, rest: str, parent: str) -> str:
-    """Where the children of an element stand: article, main or plain, or as the parent; or where nothing is main text.
-
-    That is gone in hidden elements, never in others, and soft in forms and in containers whose names say by the way that
-    they have a sidebar or the like: they may be around the whole page. What is clearly main text within ends a soft zone,
-    and a main element a never zone.
-    """
-    if parent == "gone":
-        return "gone"
-    names: list[frozenset[str]] = []
-    wrapped = False
-    if "=" in rest or "hidden" in rest.lower():
-        for m in ATTRIBUTE.finditer(rest):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            if m[1].lower() == "hidden" or m[1].lower() == "aria-hidden" and value == "true":
-                return "gone"
-            for x in value.split():
-                words = [w for w in re.split(r"[^a-z]+", x) if w]
-                names.append(frozenset(words))
-                wrapped = wrapped or bool(words) and NEVER_WORDS.issuperset(words[:1]) and words[-1] not in STATES
-    said = {w for x in names for w in x}
-    # a name of main words and no never words, such as entry-content, outweighs any others
-    clear = any(x & MAIN_WORDS and not x & NEVER_WORDS for x in names)
-    barred = bool(said & NEVER_WORDS) and not clear
-    if parent in ("never", "soft"):
-        core = any(x & CORE_WORDS and not x & NEVER_WORDS and x <= MAIN_WORDS for x in names)
-        if name == "main" or parent == "soft" and (name == "article" and not barred or core and name not in NEVER and name != "header"):
-            parent = "plain"
-        elif parent == "never" or name in NEVER and name != "form" or barred and wrapped or name == "header":
-            return "never"
-        else:
-            return "soft"
-    if name == "form":
-        return "soft"
-    if name in NEVER:
-        return "never"
-    if barred and name not in ("article", "main", "body", "html"):
-        return "never" if wrapped else "soft"
-    if name == "header":
-        return "head" if parent == "article" else "never"
-    if name == "article" or "articlebody" in said:
-        return "article"
-    if parent == "article":
-        return "article"
-    if name == "main" or said & MAIN_WORDS:
-        return "main"
-    return parent
-
-
-def read(page: str):
-    """(kind, feature, payload) for each piece of the page: tags as kind 0, text as kind 1 with the raw string."""
-    stack: list[tuple[str, str, bool, bool]] = []
-    zone, linked, heading = "plain", False, False
-    left_out = {"gone": "never", "soft": "never"}
-    for m in TOKEN.finditer(page):
-        text, name = m["text"], m["name"]
-        if text is not None:
-            where = "never" if zone == "head" and not heading else left_out.get(zone, zone)
-            yield 1, ("word", where, linked, heading), text
-            continue
+#: Elements that hold something else than text, or what stands in for it; without an end tag behind them they hold nothing.
+EMBEDDED = frozenset("object canvas iframe svg math video audio noscript template select dialog".split())
+#: Elements that hold text: names on them say less than on others.
+TEXTS = INLINE | frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre figcaption caption td th dt dd".split())
+#: Elements that an unclosed paragraph or list item ends at, through at most so many inline elements.
+ENDS_P, THROUGH = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()), 64
+#: The largest score of a word, the penalty on weights, and rounds of fitting.
+CAP, RIDGE, ROUNDS = 4.0, 0.05, 14
+
+
+def tokens(page: str) -> Iterable[tuple[int, str, str, str]]:
+    """(place, kind, name or text, rest) of each piece in turn; kind: text, start, end."""
+    low = None
+    at, n, quotes = 0, len(page), True
+    while at < n:
+        begin = page.find("<", at)
+        if begin < 0:
+            yield at, "text", page[at:], ""
+            return
+        if begin > at:
+            yield at, "text", page[at:begin], ""
+        name = NAME.match(page, begin + 1)
         if name is None:
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                at = n if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", begin):
+                end = page.find("]]>", begin)
+                at = n if end < 0 else end + 3
+            elif page.startswith(("<!", "<?"), begin):
+                end = page.find(">", begin)
+                at = n if end < 0 else end + 1
+            else:
+                yield begin, "text", "<", ""
+                at = begin + 1
+            continue
+        end = _tag_end(page, name.end()) if quotes else page.find(">", name.end())
+        if end < 0 and quotes:
+            quotes = False
+            end = page.find(">", name.end())
+        if end < 0:
+            # no tag ends from here on
+            yield begin, "text", page[begin:], ""
+            return
+        rest = page[name.end() : end]
+        at = end + 1
+        if name[0][0] == "/":
+            yield begin, "end", name[0][1:].lower(), ""
+            continue
+        tag = name[0].lower()
+        yield begin, "start", tag, rest
+        if tag in RAW and not rest.endswith("/"):
+            if low is None:
+                low = page.lower() if len(page.lower()) == n else re.sub("[A-Z]+", lambda m: m[0].lower(), page)
+            close = low.find(f"</{tag}", at)
+            at = n if close < 0 else close
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends at this place, outside of quoted values; -1 if it doesn't."""
+    while True:
+        found = STOP.search(page, at)
+        if found is None:
+            return -1
+        if found[0] == ">":
+            return found.start()
+        before = page[at : found.start()].rstrip()
+        if not before.endswith("="):
+            at = found.end()
             continue
-        name = name.lower()
-        kind = "br" if name == "br" else "inline" if name in INLINE else "block"
-        sort = "frame" if name in FRAMES else kind
-        if m["end"]:
-            yield 0, ("tag", left_out.get(zone, zone), sort, name in ("a", "li")), kind
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    _, zone, linked, heading = stack[k]
-                    del stack[k:]
-                    break
+        close = page.find(found[0], found.end())
+        if close < 0:
+            return -1
+        at = close + 1
+
+
+@lru_cache(maxsize=4096)
+def marks(name: str, rest: str) -> tuple[str, ...]:
+    """What an element's attributes say, as features."""
+    if "=" not in rest and "hidden" not in rest.lower():
+        return ()
+    out, group = [], "t" if name in TEXTS else "c"
+    for m in ATTRIBUTE.finditer(rest):
+        kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if kind == "hidden" or kind == "aria-hidden" and value.lower() == "true" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            out.append("hidden")
+        elif kind == "role":
+            out.append(f"role:{value.strip().lower()}")
+        elif kind in ("class", "id", "itemprop"):
+            for token in value.split()[:64]:
+                words = [w.lower() for w in PARTS.findall(token)]
+                if len(words) == 1:
+                    out.append(f"{group}.{words[0]}")
+                elif words:
+                    out += [f"{group}.{words[0]}-", f"{group}.-{words[-1]}"]
+    return tuple(dict.fromkeys(out))
+
+
+class Path:
+    """The open elements, and the sum of the weights of what they say, each thing once."""
+
+    def __init__(self, weights: dict[str, float], trace: bool = False):
+        self.weights, self.trace = weights, trace
+        self.stack: list[tuple[str, tuple[str, ...]]] = []
+        self.open: Counter[str] = Counter()
+        self.active: Counter[str] = Counter()
+        self.total, self.named = weights.get("bias", 0.0), 0
+
+    def push(self, name: str, rest: str, first: bool) -> None:
+        """first: nothing stands between the element around and this one."""
+        around = "article" if self.open["article"] else "main" if self.open["main"] else "named" if self.named else "none"
+        above = self.stack[-1][0] if self.stack else ""
+        # any page may have these two, or may not
+        said = [] if name in ("html", "body") else [f"<{name}", f"<{name}@{around}"]
+        said += marks(name, rest)
+        # what lies in links and items, and in forms, depends on where
+        if name in ("a", "li") or above == "form":
+            said.append(f"<{above}<{name}{'' if first else '+'}")
+        self.named += not MAIN_MARKS.isdisjoint(said)
+        for f in said:
+            self.active[f] += 1
+            if self.active[f] == 1:
+                self.total += self.weights.get(f, 0.0)
+        self.stack.append((name, tuple(said)))
+        self.open[name] += 1
+
+    def pop(self) -> None:
+        name, said = self.stack.pop()
+        self.open[name] -= 1
+        self.named -= not MAIN_MARKS.isdisjoint(said)
+        for f in said:
+            self.active[f] -= 1
+            if not self.active[f]:
+                del self.active[f]
+                self.total -= self.weights.get(f, 0.0)
+
+    def close(self, name: str) -> None:
+        if self.open[name]:
+            while self.stack[-1][0] != name:
+                self.pop()
+            self.pop()
+
+    def make_room(self, name: str) -> None:
+        """Ends the paragraph (list item) that a block (list item) can't stand in."""
+        if not (self.open["p"] or name == "li" and self.open["li"]):
+            return
+        for k in range(len(self.stack) - 1, max(-1, len(self.stack) - THROUGH), -1):
+            top = self.stack[k][0]
+            if top == "p" and name != "li" or top == "li" and name == "li":
+                while len(self.stack) > k:
+                    self.pop()
+                return
+            if top not in INLINE:
+                return
+
+
+#: What holds the whole main text of a page if anything does: elements, and containers that have only such a name.
+WHOLE = ("article", "main", "named")
+MAIN_MARKS = frozenset(f"c.{w}" for w in MAIN.split())
+
+
+@dataclass
+class Piece:
+    """A text or a tag; odds: of main text where it stands, before what the whole page says; around: which of WHOLE are."""
+
+    place: int
+    text: str | None
+    sort: str
+    odds: float
+    around: tuple[bool, ...]
+    said: tuple[str, ...] = field(default=())
+
+
+def read(page: str, weights: dict[str, float], trace: bool = False) -> tuple[list[Piece], tuple[bool, ...]]:
+    """The pieces of a page, and which of WHOLE hold a third or more of the words that may be main text.
+
+    trace: pieces say what stands above them.
+    """
+    path, out, begun = Path(weights), [], False
+    last: dict[str, int] = {}
+    words: Counter[tuple[bool, ...]] = Counter()
+
+    def piece(place: int, text: str | None, sort: str) -> None:
+        around = path.open["article"] > 0, path.open["main"] > 0, path.named > 0
+        out.append(Piece(place, text, sort, path.total, around, tuple(sorted(path.active)) if trace else ()))
+
+    for place, kind, name, rest in tokens(page):
+        if kind == "text":
+            if name:
+                begun = begun and not name.strip()
+                piece(place, name, "text")
+                if path.total > 0:
+                    words[out[-1].around] += len(name.split())
+            continue
+        block = "br" if name == "br" else "inline" if name in INLINE else "frame" if name in FRAMES else "block"
+        sort = f"{block}{'*' if name in ('a', 'li') else ''}"
+        if kind == "end":
+            begun = False
+            piece(place, None, sort)
+            path.close(name)
             continue
         if name in ENDS_P or name == "li":
-            for k in range(len(stack) - 1, -1, -1):
-                top = stack[k][0]
-                if top == "p" and name != "li" or top == "li" and name == "li":
-                    _, zone, linked, heading = stack[k]
-                    del stack[k:]
-                    break
-                if top not in INLINE:
-                    break
-        yield 0, ("tag", left_out.get(zone, zone), sort, name in ("a", "li")), kind
-        if name in VOID or m["rest"].endswith("/") and name not in ENDS_P and name not in INLINE:
+            path.make_room(name)
+        if name in EMBEDDED:
+            if name not in last:
+                last[name] = max((m.start() for m in re.finditer(f"</{name}", page, re.I)), default=-1)
+            if place > last[name]:
+                piece(place, None, sort)
+                continue
+        if name in VOID or rest.endswith("/") and name not in ENDS_P and name not in INLINE:
+            piece(place, None, sort)
             continue
-        stack.append((name, zone, linked, heading))
-        zone = zone_of(name, m["rest"], zone)
-        linked, heading = linked or name == "a", heading or name in HEADINGS
-
-
-def labelled_pages() -> list[str]:
-    """Pages of common builds, whose main text stands between the comments [[ and ]]."""
-    line = "The river rose in the night and by the morning the lower fields were under water again."
-    para = f"<p>{line} {line}</p>"
-    few = f"<p>{line}</p><p>Yes.</p>"
-    menu = "".join(f'<li><a href="/{w}">{w}</a></li>' for w in "home news sport weather about contact".split())
-    nav, foot = f"<nav><ul>{menu}</ul></nav>", "<footer>All rights reserved by the publisher of this site.</footer>"
-    ad, cookie = '<div class="ad">Buy new boots for a very low price today.</div>', '<div class="cookie-notice"><p>We use cookies to make this site better for you.</p></div>'
-    side = f'<aside><h3>More</h3><ul>{menu}</ul><p>{line}</p></aside>'
-    said = f'<section id="comments"><h2>Comments</h2><div class="comment"><p>{line}</p></div><div class="comment"><p>I think so too.</p></div></section>'
-    form = "<form><label>Your name</label><input name=n><button>Send it now</button></form>"
-    heads = "<h1>The river rose</h1>"
-    builds = [
-        "{nav}{ad}<article>[[{heads}{para}{para}{few}]]</article>{foot}",
-        "<header><h1>The Daily</h1>{nav}</header><main><article>[[{heads}{para}{few}{para}]]</article>{side}</main>{said}{foot}",
-        "<div class=top><ul>{menu}</ul></div><div id=content>[[{heads}{para}{para}{few}]]</div>{side}{foot}",
-        "{cookie}{nav}<div class=page><div class=text>[[{heads}{few}{para}{para}]]{ad}</div></div>{form}{foot}",
-        "<table><tr><td><ul>{menu}</ul></td><td>[[{heads}{para}{para}{few}{para}]]</td></tr></table><p>Copyright by us.</p>",
-        "<body><ul>{menu}</ul>[[{heads}{para}{few}{para}{few}]]{said}<p><a href=/a>Back to the start</a></p></body>",
-        "<main>[[{heads}{few}<ul><li>{line}</li><li>{line}</li></ul>{para}]]{form}</main>{foot}",
-        "{nav}<section>[[{heads}{para}<blockquote>{line}</blockquote>{para}]]</section>{side}{said}{foot}",
-    ]
-    parts = {"nav": nav, "foot": foot, "ad": ad, "cookie": cookie, "side": side, "said": said, "form": form, "heads": heads, "para": para, "few": few, "menu": menu, "line": line}
-    return [b.format(**parts) for b in builds]
+        path.push(name, rest, begun)
+        begun = True
+        piece(place, None, sort)
+    return out, held_by(words)
 
 
-@lru_cache(maxsize=1)
-def weights() -> dict[tuple, float]:
-    """Scores by feature: log odds of lying in the main text for words, held above 0 within it; below 0 for tags."""
-    inside, outside = Counter(), Counter()
-    for page in labelled_pages():
-        head, rest = page.split("[[")
-        body, tail = rest.split("]]")
-        marked = f"{head}<!--[[-->{body}<!--]]-->{tail}"
-        begin, end = marked.index("<!--[[-->"), marked.index("<!--]]-->")
-        at = 0
-        for kind, feature, payload, place in placed(marked):
-            at = place
-            n = len(WORDS.findall(payload)) if kind else 1
-            (inside if begin <= at < end else outside)[feature] += n
-    total_in, total_out = {}, {}
-    for kind in ("word", "tag"):
-        total_in[kind] = sum(n for f, n in inside.items() if f[0] == kind)
-        total_out[kind] = sum(n for f, n in outside.items() if f[0] == kind)
-    out = {}
-    for f in {*inside, *outside}:
-        a, b = inside[f], outside[f]
-        out[f] = log((a + 0.5) / (b + 0.5)) if f[0] == "word" else log((a + 0.5) / (a + b + 1.0))
+def held_by(words: Counter[tuple[bool, ...]]) -> tuple[bool, ...]:
+    """Which of WHOLE hold a third or more of the words."""
+    total = sum(words.values())
+    return tuple(total > 0 and 3 * sum(n for around, n in words.items() if around[k]) >= total for k in range(len(WHOLE)))
+
+
+def learn(pages: list[tuple[str, list[tuple[int, int]]]]) -> dict[str, float]:
+    """Weights from pages with the places where main text begins and ends, in order.
+
+    Words with the same things above them are one example, with their number inside and outside of main text.
+    """
+    inside, outside, tag_in, tag_out = Counter(), Counter(), Counter(), Counter()
+    for page, spans in pages:
+        begins, ends = [a for a, _ in spans], [b for _, b in spans]
+        within = lambda at: (k := bisect_right(begins, at) - 1) >= 0 and at < ends[k]  # noqa: E731, B023
+        pieces, _ = read(page, {}, trace=True)
+        words: Counter[tuple[bool, ...]] = Counter()
+        for x in pieces:
+            if x.text and within(x.place):
+                words[x.around] += len(x.text.split())
+        has = held_by(words)
+        whole = spans[0][0] if spans else 0, spans[-1][1] if spans else 0
+        for x in pieces:
+            if x.text is None:
+                (tag_in if whole[0] <= x.place < whole[1] else tag_out)[x.sort] += 1
+            elif x.text.strip():
+                said = (*x.said, *beyond(x, has))
+                # a text counts by its logarithm, so that long ones don't outweigh all others
+                (inside if within(x.place) else outside)[said] += log(1 + len(x.text.split()))
+    examples = list({*inside, *outside})
+    index = {f: i for i, f in enumerate(sorted({f for e in examples for f in e}))}
+    x = np.zeros((len(examples), len(index) + 1))
+    for row, e in enumerate(examples):
+        x[row, [index[f] for f in e]] = 1.0
+    x[:, -1] = 1.0
+    a, b = (np.array([c[e] for e in examples]) for c in (inside, outside))
+    w = np.zeros(x.shape[1])
+    for _ in range(ROUNDS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (a - (a + b) * p) - RIDGE * w
+        curve = (x * ((a + b) * p * (1 - p) + 1e-6)[:, None]).T @ x + RIDGE * np.eye(len(w))
+        step = np.linalg.solve(curve, slope)
+        w += step * min(1.0, 4.0 / max(1e-9, np.abs(step).max()))
+    out = {f: float(w[i]) for f, i in index.items()} | {"bias": float(w[-1])}
+    for sort in {*tag_in, *tag_out}:
+        out[f"tag:{sort}"] = log((tag_in[sort] + 0.5) / (tag_in[sort] + tag_out[sort] + 1.0))
     return out
 
 
-def placed(page: str):
-    """`read` with the place of each piece."""
-    at = 0
-    for kind, feature, payload in read(page):
-        if kind:
-            at = page.index(payload, at)
-        yield kind, feature, payload, at
-        at += len(payload) if kind else 1
+def beyond(piece: Piece, has: tuple[bool, ...]) -> list[str]:
+    """What the whole page says of a piece: that it stands outside of one of WHOLE that the page has."""
+    return [f"no {name}" for name, there, around in zip(WHOLE, has, piece.around, strict=True) if there and not around]
 
 
-def score(feature: tuple, learned: dict[tuple, float]) -> float:
-    """Of one word or tag; features not met in the labelled pages fall back to what is known of their zone.
+@lru_cache(maxsize=1)
+def default_weights() -> dict[str, float]:
+    return learn([(page, spans) for page, spans, _ in labelled_pages()])
 
-    What is never main text is left out of the run afterwards and scores 0, so that no amount of it parts a run.
-    """
-    if feature[1] == "never":
-        return 0.0
-    found = learned.get(feature)
-    if feature[0] == "tag":
-        found = -0.7 if found is None else found
-        if feature[1] == "article":
-            return max(found, -0.05)
-        return min(found, -0.05)
-    _, zone, linked, _ = feature
-    if zone == "article":
-        return 4.0
-    if found is None:
-        found = -0.5 if linked else 1.0
-    return max(-2.0, min(found, 1.2))
-
-
-def extract(page: str) -> str:
-    """The main text: blocks in page order, one to a line."""
-    learned = weights()
-    pieces = list(read(page))
-    # the maximum-scoring run, by one scan
-    best, best_run, total, begin = 0.0, None, 0.0, 0
-    words, cache = [0] * len(pieces), {}
-    for k, (kind, feature, payload) in enumerate(pieces):
-        each = cache.get(feature)
-        if each is None:
-            each = cache[feature] = score(feature, learned)
-        if kind:
-            words[k] = len(payload.split())
-            each *= words[k]
+
+def best_run(scores: list[float]) -> tuple[int, int] | None:
+    """The first and last place of the contiguous run with the largest sum above 0; None if there is none."""
+    best, run, total, begin = 0.0, None, 0.0, 0
+    for k, score in enumerate(scores):
         if total <= 0:
             total, begin = 0.0, k
-        total += each
+        total += score
         if total > best:
-            best, best_run = total, (begin, k)
-    if best_run is None:
+            best, run = total, (begin, k)
+    return run
+
+
+def extract(page: str, weights: dict[str, float] | None = None) -> str:
+    """The main text: blocks in page order, one to a line."""
+    weights = default_weights() if weights is None else weights
+    pieces, has = read(page, weights)
+    far = {around: sum(weights.get(f, 0.0) for f in beyond(Piece(0, "", "", 0.0, around), has)) for around in {x.around for x in pieces}}
+    odds = [x.odds + far[x.around] for x in pieces]
+    scores = [0.0 if o <= 0 else weights.get(f"tag:{x.sort}", 0.0) if x.text is None else min(o, CAP) * len(x.text.split()) for x, o in zip(pieces, odds, strict=True)]
+    run = best_run(scores)
+    if run is None:
         return ""
     blocks, parts = [], []
 
     def close():
-        whole = SPACES.sub(" ", html.unescape("".join(parts))).strip()
+        whole = SPACES.sub(" ", "".join(parts)).strip()
         if whole:
             blocks.append(whole)
         parts.clear()
 
-    for kind, feature, payload in pieces[best_run[0] : best_run[1] + 1]:
-        if kind:
-            if feature[1] != "never":
-                parts.append(payload)
-        elif payload == "block":
-            close()
-        elif payload == "br":
+    for k in range(run[0], run[1] + 1):
+        x = pieces[k]
+        if x.text is not None:
+            if odds[k] > 0:
+                parts.append(html.unescape(x.text))
+        elif x.sort == "br":
             parts.append(" ")
+        elif not x.sort.startswith("inline"):
+            close()
     close()
     return "\n".join(blocks)
 
 
-def extract_pages(pages: DataFrame, html_col: str = "html", text_name: str = "text", size_name: str = "n_chars") -> DataFrame:
-    """The rows with the main text and its number of code points."""
+def extract_pages(pages: DataFrame, html_col: str = "html", text_name: str = "text", size_name: str = "n_chars", weights: dict[str, float] | None = None) -> DataFrame:
+    """The rows with the main text and its number of code points. weights: what `learn` gives, else of its own pages."""
+    weights = default_weights() if weights is None else weights
 
     def run(columns):
-        texts = [extract(x or "") for x in columns[0].to_pylist()]
+        texts = [extract(x or "", weights) for x in columns[0].to_pylist()]
         return [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
 
-    return appended(pages, [html_col], f"{text_name} string, {size_name} long", run)
+    return appended(pages, [html_col], f"`{text_name}` string, `{size_name}` long", run)
 
 
 def op5_html(spark, sf_dir: str) -> DataFrame:
