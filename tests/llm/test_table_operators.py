@@ -413,6 +413,17 @@ def test_fingerprints(odd):
         assert simhash.fingerprint(r["text"] or "", 4, 42) == brute_fingerprint(r["text"])
 
 
+@pytest.mark.parametrize("n", [100, 10**6, 10**9, 10**12, 10**15])
+def test_bands_miss_no_pair(n):
+    masks, rng = simhash.band_masks(n, 4), random.Random(n)
+    assert len(masks) <= 70
+    for _ in range(500):
+        bits = rng.sample(range(64), rng.randrange(5))
+        far = sum(1 << b for b in bits)
+        assert any(not far & m for m in masks)
+    assert len(simhash.band_masks(100, 4)) == 5 and len(simhash.band_masks(10**9, 4)) > 5
+
+
 @pytest.mark.parametrize("tile", [4, 1024])
 def test_links(spark, monkeypatch, tile):
     """Clusters, chains and a crowd around one value, dealt to tiles of any size."""

@@ -2,20 +2,21 @@
 
 A fingerprint has a bit for each bit of the 64-bit hashes of a text's word shingles, set where over half of the hashes
 have it. Equal fingerprints are one node from the start, by an aggregation. Two that differ in at most r bits agree in
-at least one of r + 1 bands of bits, so fingerprints are dealt by band into tiles; tiles that share a band's bits are
-compared exactly, by exclusive-or and bit counts in numpy, unless their population counts differ beyond r: then no pair
+at least one of r + 1 bands of bits (or, with more blocks of bits, in one of the unions of some of them), so fingerprints are
+dealt by band into tiles; tiles that share a band's bits are compared exactly, by exclusive-or and bit counts in numpy, unless their population counts differ beyond r: then no pair
 in them can link. A band's bits that very many fingerprints share make many tiles, by population count and a hash, each
 pair of which is a row of its own, so such a group is spread over tasks. A tile pair yields a star for each of its
 components rather than every pair of it, and components are found by contraction: each node points to its smallest
 neighbour, pointers are doubled, edges are relabelled, until none is left.
 
 Null and empty texts, and texts of white space only, have fingerprint zero and link like any other. Rows that repeat an
-id are nodes alike. Rows with a null id link others but don't name a component; one of such rows only is null.
+id are nodes alike. Rows with a null id link others but don't name a component; one of such rows only is null. An empty
+table gives no rows. Columns besides id and text aren't looked at, or pass through, whatever their names.
 """
 
 from __future__ import annotations
 
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -86,11 +87,26 @@ def stars(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray,
     return np.concatenate([a[moved], b[met]]), np.concatenate([a[left[moved]], a[right[met]]])
 
 
+def band_masks(n: int, radius: int) -> list[int]:
+    """Sets of bits, as masks, in one of which two fingerprints within the radius agree.
+
+    Bits are cut into more blocks than the radius; a pair agrees in all blocks but `radius`, so the masks are the unions of
+    that many. The more fingerprints, the more blocks, so that few share a mask's bits by chance: with 5 bands of 12 bits at
+    a radius of 4, 15 of 21 bits, 35 of 27, or 70 of 32.
+    """
+    for blocks in range(radius + 1, radius + 5):
+        edges = [64 * i // blocks for i in range(blocks + 1)]
+        parts = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
+        masks = [sum(c) for c in combinations(parts, blocks - radius)]
+        if n >> min(m.bit_count() for m in masks) <= TILE // 4:
+            break
+    return masks
+
+
 def links(nodes: DataFrame, radius: int) -> DataFrame:
     """Edges u, v that join all fingerprints (column fp, distinct) at distance 1 to radius, directly or by others."""
-    bands = radius + 1
-    edges = [64 * i // bands for i in range(bands + 1)]
-    band = [F.shiftrightunsigned("fp", lo).bitwiseAND((1 << (hi - lo)) - 1) for lo, hi in zip(edges, edges[1:], strict=False)]
+    masks = [m - (1 << 64) if m >> 63 else m for m in band_masks(nodes.count(), radius)]
+    band = [F.col("fp").bitwiseAND(F.lit(m)) for m in masks]
     rows = nodes.select("fp", F.bit_count("fp").cast("int").alias("ones"), F.posexplode(F.array(*band)).alias("band", "key"))
     rows = written(rows, "simhash-bands")
     large = written(rows.groupBy("band", "key").count().where(F.col("count") > TILE).select("band", "key"), "simhash-large")
@@ -103,11 +119,12 @@ def links(nodes: DataFrame, radius: int) -> DataFrame:
         cuts = crowd.groupBy("band", "key", "ones").agg(F.ceil(F.count("*") / TILE).alias("cuts"))
         crowd = crowd.join(cuts, ["band", "key", "ones"]).withColumn("cut", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("cuts")))
         tiles = written(crowd.groupBy("band", "key", "ones", "cut").agg(*pack), "simhash-tiles")
-        other = tiles.select("band", "key", F.col("ones").alias("ones_b"), F.col("cut").alias("cut_b"), F.col("a").alias("b"))
-        # tiles whose population counts differ by more are skipped here
-        order = (F.col("ones") < F.col("ones_b")) | ((F.col("ones") == F.col("ones_b")) & (F.col("cut") <= F.col("cut_b")))
-        pairs = tiles.join(other, ["band", "key"]).where(order & (F.col("ones_b") - F.col("ones") <= radius))
-        same = (F.col("ones") == F.col("ones_b")) & (F.col("cut") == F.col("cut_b"))
+        # tiles whose population counts differ by more never meet: a tile looks for those with as many ones and up to the
+        # radius more, so a crowded key is many keys of the join
+        asking = tiles.select("band", "key", F.col("ones").alias("own"), "cut", "a", F.explode(F.sequence(F.col("ones"), F.col("ones") + radius)).alias("ones"))
+        other = tiles.select("band", "key", "ones", F.col("cut").alias("cut_b"), F.col("a").alias("b"))
+        pairs = asking.join(other, ["band", "key", "ones"]).where((F.col("own") < F.col("ones")) | (F.col("cut") <= F.col("cut_b")))
+        same = (F.col("own") == F.col("ones")) & (F.col("cut") == F.col("cut_b"))
         pairs = pairs.select("a", F.when(~same, F.col("b")).alias("b")).repartition(nodes.sparkSession.sparkContext.defaultParallelism * 4)
     alone = single.groupBy("band", "key").agg(*pack).where(F.size("a") > 1).select("a", F.lit(None).cast("array<bigint>").alias("b"))
 
@@ -138,14 +155,14 @@ def components(edges: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         up = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
-        up = written(up, "cc-up")
+        first = up = written(up, "cc-up")
         for _ in range(2):
             up = up.join(up.select(F.col("u").alias("p"), F.col("p").alias("pp")), "p").select("u", F.col("pp").alias("p"))
-        up = written(up, "cc-up")
-        edges = edges.join(up.withColumnRenamed("p", "a"), "u").join(up.select(F.col("u").alias("v"), F.col("p").alias("b")), "v")
-        edges = written(edges.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "cc-edges")
-        roots = roots.join(up.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
-        roots = written(roots, "cc-roots")
+        up = written(up, "cc-up", first)
+        joined = edges.join(up.withColumnRenamed("p", "a"), "u").join(up.select(F.col("u").alias("v"), F.col("p").alias("b")), "v")
+        edges = written(joined.where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "cc-edges", edges)
+        named = roots.join(up.withColumnRenamed("u", "root"), "root", "left").select("node", F.coalesce("p", "root").alias("root"))
+        roots = written(named, "cc-roots", roots, up)
     return roots
 
 
@@ -272,7 +289,9 @@ def wide_links(nodes: DataFrame, radius: int, similarity: float) -> DataFrame:
     """
     step = F.lit(float(-np.log(similarity)))
     rows = nodes.withColumn("class", F.floor(F.log(F.greatest("n", F.lit(1))) / step + 1e-9).cast("int"))
-    cuts = rows.groupBy("class").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    # classes of some size are a few blocks, so that no task has most of the rows; large ones are as many as it takes
+    block = F.greatest(F.lit(BLOCK // 8), F.least(F.lit(BLOCK), F.ceil(F.count("*") / 8)))
+    cuts = rows.groupBy("class").agg(F.ceil(F.count("*") / block).cast("int").alias("cuts"))
     after = cuts.select((F.col("class") - 1).alias("class"), F.col("cuts").alias("cuts_after"))
     before = cuts.select((F.col("class") + 1).alias("class"), F.col("cuts").alias("cuts_before"))
     # as many rows as there are classes, which follow the logarithm of the longest text
