@@ -73,8 +73,13 @@ def test_serialised(spark, tmp_path):
     content = struct.pack("<?qq", True, 3, 3) + struct.pack("<4q", 0, 2, 2, 3) + struct.pack("<3i", 1, 2, 0)
     g = graphs.load_graph(spark, put(tmp_path, "a.sg", content))
     assert g.n == 3 and edges(g) == [(0, 1), (0, 2), (2, 0)]
+    # a directed graph's file goes on with the other direction
+    inverse = struct.pack("<4q", 0, 1, 2, 3) + struct.pack("<3i", 2, 0, 0)
     graphs.write_serialised(g, f"{tmp_path}/b.sg")
-    assert (tmp_path / "b.sg").read_bytes() == content
+    assert (tmp_path / "b.sg").read_bytes() == content + inverse
+    graphs.write_serialised(g, f"{tmp_path}/c.sg", directed=False)
+    assert (tmp_path / "c.sg").read_bytes() == b"\0" + content[1:]
+    assert edges(graphs.load_graph(spark, f"{tmp_path}/b.sg")) == edges(g)
 
 
 def test_catalogue_and_permutation(spark, tmp_path):

@@ -40,19 +40,22 @@ def load(rows: DataFrame, kernel: str, dataset: str, perturbed: bool = False, sl
     rows = normalised(rows)
     require(rows, COLUMNS)
     rows = coerced(rows)
-    gap = F.lit(False)
+    gap, infinite, negative = F.col("graph_id").isNull(), F.lit(False), F.lit(False)
     for c in NUMERIC:
         gap = gap | F.col(c).isNull() | F.isnan(c)
-    _examples(rows.where(gap | F.col("graph_id").isNull()), "missing or unreadable numbers")
-    _examples(rows.groupBy("graph_id").count().where("count > 1").orderBy("graph_id"), "repeated graph ids")
-    infinite, negative = F.lit(False), F.lit(False)
-    for c in NUMERIC:
         infinite = infinite | (F.abs(c) == float("inf"))
         if "_r" in c:
             negative = negative | (F.col(c) < -slack)
-    _examples(rows.where(infinite), "numbers that aren't finite")
-    _examples(rows.where((F.col("speedup") <= 0) | (F.col("exact_time_ms") <= 0) | (F.col("sampled_time_ms") <= 0)), "speedups or times that aren't above 0")
-    _examples(rows.where(negative), "negative probabilities")
+    small = (F.col("speedup") <= 0) | (F.col("exact_time_ms") <= 0) | (F.col("sampled_time_ms") <= 0)
+    checks = {"missing or unreadable numbers": gap, "numbers that aren't finite": infinite, "speedups or times that aren't above 0": small, "negative probabilities": negative}
+    # one pass counts all of them; ids are looked for only where there are any
+    failed = rows.agg(*[F.count_if(F.coalesce(bad, F.lit(False))) for bad in checks.values()]).first()
+    if failed[0]:
+        _examples(rows.where(gap), "missing or unreadable numbers")
+    _examples(rows.groupBy("graph_id").count().where("count > 1").orderBy("graph_id"), "repeated graph ids")
+    for (what, bad), n in zip(checks.items(), failed, strict=True):
+        if n:
+            _examples(rows.where(bad), what)
     sums = [F.abs(sum((F.col(f"{v}_{f}") for f in FEATURES), F.lit(0.0)) - 1.0) > off for v in VARIANTS]
     name = base_graph(F.col("graph_id")) if perturbed else F.col("graph_id")
     return rows.withColumns({"base_graph": name, "kernel": F.lit(kernel), "dataset": F.lit(dataset), "sum_warning": sums[0] | sums[1]})

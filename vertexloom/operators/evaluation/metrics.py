@@ -82,12 +82,12 @@ def approximation_by_bin(rows: DataFrame) -> DataFrame:
     return errors.join(spearman(pairs, "exact", "sampled", by=["feature"]), "feature")
 
 
-def predictions(rows: DataFrame, log_prediction: Column | str, experiment: str = "", fold: int | None = None) -> DataFrame:
+def predictions(rows: DataFrame, log_prediction: Column | str, experiment: str = "", fold: int | str | None = None) -> DataFrame:
     """The prediction frame: true and predicted log speedup, errors, and whether reordering pays."""
     rows = rows.withColumns({"true_log_speedup": F.ln("speedup"), "pred_log_speedup": F.col(log_prediction) if isinstance(log_prediction, str) else log_prediction})
     rows = rows.withColumn("pred_speedup", F.exp("pred_log_speedup"))
     gap = F.col("pred_speedup") - F.col("speedup")
-    return rows.withColumns({"signed_error_speedup": gap, "abs_error_speedup": F.abs(gap), "ape": F.abs(gap) / F.greatest(F.abs("speedup"), F.lit(FLOOR)), "true_beneficial": F.col("speedup") > 1.0, "experiment": F.lit(experiment), "fold": F.lit(fold).cast("int")})
+    return rows.withColumns({"signed_error_speedup": gap, "abs_error_speedup": F.abs(gap), "ape": F.abs(gap) / F.greatest(F.abs("speedup"), F.lit(FLOOR)), "true_beneficial": F.col("speedup") > 1.0, "experiment": F.lit(experiment), "fold": (F.col(fold) if isinstance(fold, str) else F.lit(fold)).cast("int")})
 
 
 def regression(frame: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ...storage import written
 from ..predictor import Model, log_speedup
 from .dataset import FEATURES, folds
 from .metrics import predictions, regression
@@ -48,10 +49,10 @@ def solve(m, alpha: float, fills: list[float], size: int = len(FEATURES)) -> Mod
     return Model(float(y - raw @ mean), tuple(map(float, raw)), tuple(fills), tuple(map(float, mean)), tuple(map(float, scale)), float(y), tuple(map(float, w)))
 
 
-def fit(rows: DataFrame, alpha: float = 1.0, target: str = "speedup") -> Model:
+def fit(rows: DataFrame, alpha: float = 1.0, target: str = "speedup", features: list[str] | None = None) -> Model:
     """The model of the log of the target."""
-    fills = medians(rows)
-    return solve(moments(filled(rows, fills), F.ln(target)).first(), alpha, fills)
+    fills = medians(rows, features)
+    return solve(moments(filled(rows, fills, features), F.ln(target), None, features).first(), alpha, fills, len(features or FEATURES))
 
 
 def fit_groups(rows: DataFrame, by: list[str], alpha: float = 1.0, target: str = "speedup") -> dict[tuple, Model]:
@@ -67,18 +68,18 @@ def cross_validated(rows: DataFrame, count: int = 5, alpha: float = 1.0, experim
     """
     dealt = folds(rows, count)
     fills = medians(rows)
-    rows = filled(rows, fills).join(dealt, "base_graph")
+    # features are worked out once; everything after that reads them
+    rows = written(filled(rows, fills).join(dealt, "base_graph"), "ridge-rows")
     by_fold = {m["fold"]: m.asDict() for m in moments(rows, F.ln("speedup"), ["fold"]).collect()}
-    out = None
+    found = None
     for fold in sorted(by_fold):
         train = {k: sum((m[k] for f, m in by_fold.items() if f != fold), 0) for k in by_fold[fold] if k != "fold"}
-        if not train["n"]:
-            continue
-        part = predictions(rows.where(F.col("fold") == fold).drop("fold"), log_speedup(solve(train, alpha, fills)), experiment, fold)
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+        if train["n"]:
+            one = log_speedup(solve(train, alpha, fills))
+            found = F.when(F.col("fold") == fold, one) if found is None else found.when(F.col("fold") == fold, one)
+    if found is None:
         raise ValueError("cross-validation needs two groups")
-    return out
+    return predictions(rows, found, experiment, "fold").where(F.col("pred_log_speedup").isNotNull())
 
 
 def covered_once(frame: DataFrame, rows: DataFrame) -> None:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ...storage import written
+from ...storage import fresh_path, written
 from ..graph import IN, OUT, Graph, both_degrees, degrees
 from ..positions import with_positions
 
@@ -227,23 +227,27 @@ def batches(g: Graph, steps: list[Step], seeds: str = IN, hub: int | None = None
     targets = edges.select("row", F.col("col").alias("w"))
     vertices = g.vertices()
     scores = {"id": None, OUT: fans.select("id", F.col("outdeg").alias("deg")), IN: fans.select("id", F.col("indeg").alias("deg"))}[seeds]
-    placed = None
+    # a batch is a folder of its own, which isn't written again; the window reads its batches only
+    spark, base = g.spark, fresh_path(g.spark, "order-placed")
+    read = lambda: spark.read.schema("id int, place int, batch int").parquet(base)
     for number, step in enumerate(steps):
-        if placed is None:
+        if not number:
             rows = vertices.withColumn("score", F.lit(0)) if scores is None else scores.select("id", F.col("deg").alias("score"))
         else:
-            last = steps[number - 1]
-            window = placed.where((F.col("place") >= last.from_place) & (F.col("place") < last.from_place + last.scored)).select(F.col("id").alias("col"))
-            paths = sources.join(window, "col").select("row").join(targets, "row")
-            counted = paths.groupBy(F.col("w").alias("id")).agg(F.count("*").alias("score"))
+            placed, last = read(), steps[number - 1]
+            begin = next(k for k, s in enumerate(steps) if s.start + s.size > last.from_place)
+            window = placed.where((F.col("batch") >= begin) & (F.col("place") >= last.from_place) & (F.col("place") < last.from_place + last.scored)).select(F.col("id").alias("col"))
+            # a source that many of the window share goes through its targets once, with their number
+            paths = sources.join(window, "col").groupBy("row").agg(F.count("*").alias("ways")).join(targets, "row")
+            counted = paths.groupBy(F.col("w").alias("id")).agg(F.sum("ways").alias("score"))
             rows = vertices.join(placed.select("id"), "id", "left_anti").join(counted, "id", "left").na.fill(0, ["score"])
         best = rows.orderBy(F.desc("score"), "id").limit(step.size)
         order = Window.orderBy(*(["id"] if by_id else [F.desc("score"), "id"]))  # a batch at most
-        taken = best.withColumn("place", (F.row_number().over(order) - 1 + step.start).cast("int")).select("id", F.lit(number).alias("batch"), "place")
-        placed = written(taken if placed is None else placed.unionByName(taken), "order-placed")
-    if placed is None:
+        taken = best.withColumn("place", (F.row_number().over(order) - 1 + step.start).cast("int")).select("id", "place")
+        taken.write.parquet(f"{base}/batch={number}")
+    if not steps:
         return vertices.select("id", F.lit(0).alias("batch"), F.col("id").alias("place"))
-    return placed
+    return read().select("id", "batch", "place")
 
 
 def refined(g: Graph, placed: DataFrame, width: int, hub: int, from_batch: int = 0, restrict: bool = True) -> DataFrame:

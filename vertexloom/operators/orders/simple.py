@@ -5,9 +5,12 @@ An ordering is a table perm(old_id, new_id), a bijection on 0 to n - 1. Ties go
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ...storage import written
 from ..graph import OUT, Graph, degrees
 from ..positions import with_positions
 
@@ -89,8 +92,6 @@ def local_swaps(n: int, share: float, near: int, far: int, seed: int):
     The side is drawn by the lengths of the two intervals. Swaps follow one another, so this is a sequence on the driver;
     its array has a number for each vertex.
     """
-    import numpy as np
-
     if share and (not 0 <= share <= 1 or near < 0 or far < max(1, near)):
         raise ValueError("the share lies between 0 and 1, and distances from 1 on")
     near = max(1, near)
@@ -113,7 +114,8 @@ def local_swaps(n: int, share: float, near: int, far: int, seed: int):
 def perturbed(g: Graph, share: float, near: int, far: int, graph_id: int = 0) -> tuple[Graph, DataFrame]:
     """The graph after local swaps, and the ordering that they make."""
     perm = local_swaps(g.n, share, near, far, PERTURBATION_SEED + graph_id)
-    table = g.spark.createDataFrame([(i, int(p)) for i, p in enumerate(perm)], "old_id int, new_id int")
+    rows = pa.table({"old_id": pa.array(np.arange(g.n, dtype=np.int32)), "new_id": pa.array(perm.astype(np.int32))})
+    table = written(g.spark.createDataFrame(rows, "old_id int, new_id int"), "perturbed")
     return relabel(g, table), table
 
 

@@ -88,5 +88,24 @@ def verify(rows: DataFrame, model: Model, expected: str, tolerance: float = 1e-1
     return worst
 
 
+def parameters(spark, model: Model) -> DataFrame:
+    """A row for each feature, in order, and one for the intercept: the model as a table."""
+    gaps = lambda values, i: float(values[i]) if i < len(values) else None
+    rows = [(i, f"r{i + 1}", c, gaps(model.scaled_coefficients, i), gaps(model.medians, i), gaps(model.means, i), gaps(model.scales, i)) for i, c in enumerate(model.coefficients)]
+    rows.append((len(rows), "intercept", model.intercept, model.scaled_intercept, None, None, None))
+    return spark.createDataFrame(rows, "place int, feature string, raw double, standardised double, median double, mean double, scale double")
+
+
+def export(rows: DataFrame, model: Model, folder: str, expected: str, tolerance: float = 1e-10, **about) -> None:
+    """The model as model.json, model.sql and model.csv, after the formula has been held against a column of its values."""
+    from ..storage import write_bytes
+
+    verify(rows, model, expected, tolerance)
+    spark = rows.sparkSession
+    write_bytes(spark, f"{folder}/model.json", [to_json(model, **about).encode()])
+    write_bytes(spark, f"{folder}/model.sql", [to_sql(model).encode()])
+    parameters(spark, model).orderBy("place").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/model.csv")
+
+
 def local_speedup(model: Model, features) -> float:
     return exp(model.intercept + sum(c * r for c, r in zip(model.coefficients, features, strict=True)))

@@ -11,11 +11,14 @@ p + 1 (first touches have prev = -1). That is a count of points below and left o
   points than places, since each place is the prev of at most one other;
 * all others are sums over a grid of blocks, by two running sums.
 
-So no task holds more than a block, whatever the graph and however hot a sector is.
+So no task holds more than a block, whatever the graph and however hot a sector is. Blocks grow with the root of the number
+of places, so that the grid stays small beside them.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -68,8 +71,15 @@ def counted_below(order: np.ndarray, values: np.ndarray) -> np.ndarray:
     return result
 
 
-def reuse_distances(stream: DataFrame, block: int = 1 << 16) -> DataFrame:
+def block_for(places: int) -> int:
+    """Places in a block: a power of two, at least twice the root of all, so that the grid has an eighth of the places' cells
+    at most."""
+    return max(1 << 16, 1 << (2 * isqrt(max(1, places)) - 1).bit_length())
+
+
+def reuse_distances(stream: DataFrame, block: int | None = None) -> DataFrame:
     """k, sector, prev, rd of each reuse."""
+    block = block or block_for(stream.count())
     points = reuse_gaps(stream, block).select("k", "sector", F.coalesce("prev", F.lit(-1)).cast("long").alias("prev"))
     points = points.withColumns({"kb": F.expr(f"k div {block}"), "pb": F.when(F.col("prev") >= 0, F.expr(f"prev div {block}"))})
     points = written(points, "reuse-points")
@@ -131,7 +141,7 @@ def wide(hist: DataFrame, bins: int = 10, prefix: str = "r") -> DataFrame:
     return hist.agg(*[F.coalesce(F.max(F.when(F.col("bin") == i, F.col("prob"))), F.lit(0.0)).alias(f"{prefix}{i}") for i in range(1, bins + 1)])
 
 
-def exact_histogram(g: Graph, sector: int = SECTOR, edges=EDGES, block: int = 1 << 16) -> DataFrame:
+def exact_histogram(g: Graph, sector: int = SECTOR, edges=EDGES, block: int | None = None) -> DataFrame:
     return histogram(reuse_distances(access_stream(g, sector), block), edges)
 
 
@@ -243,7 +253,7 @@ def status_counts(distances: DataFrame) -> DataFrame:
 TILE_LIMIT, FAR_LIMIT = 448, 1179648
 
 
-def three_bins(stream: DataFrame, probability: float = 1.0, seed: int = 1, limits=(TILE_LIMIT, FAR_LIMIT), block: int = 1 << 16) -> DataFrame:
+def three_bins(stream: DataFrame, probability: float = 1.0, seed: int = 1, limits=(TILE_LIMIT, FAR_LIMIT), block: int | None = None) -> DataFrame:
     """class, cnt, prob, sampled_cnt, total_reuse_cnt: reuses, each taken with a probability, as tile, mid or far."""
     found = reuse_distances(stream, block)
     taken = F.pmod(F.xxhash64("k", F.lit(seed)), F.lit(1 << 30)) < F.lit(int(probability * (1 << 30)))

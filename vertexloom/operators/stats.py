@@ -7,6 +7,7 @@ from math import ceil, log2, sqrt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import written
 from .graph import IN, OUT, Graph, both_degrees, degrees, offsets
 from .positions import running_sum
 
@@ -108,11 +109,14 @@ def tiles(g: Graph, side: str = IN, lane: int = LANE, lanes: int = LANES) -> Dat
 
 def tile_summary(g: Graph, side: str = IN) -> DataFrame:
     """tiles, fast_tiles, empty_tiles."""
+    # counted and scanned more than once
+    g = g.with_edges(written(g.edges, "tile-edges"))
     return tiles(g, side).agg(F.count("*").alias("tiles"), F.count_if("fast").alias("fast_tiles"), F.count_if("empty").alias("empty_tiles"))
 
 
 def lane_bits(g: Graph, side: str = IN, lane: int = LANE) -> DataFrame:
     """For each lane a descriptor: bit i is set if the i-th item on its path is a row end; and the row ends in it."""
+    g = g.with_edges(written(g.edges, "tile-edges"))
     keys = offsets(g, side).select((F.col("end") + F.col("id")).cast("long").alias("at"))
     marked = keys.groupBy(F.expr(f"at div {lane}").alias("lane")).agg(F.bit_or(F.expr(f"shiftleft(1, cast(at % {lane} as int))")).alias("bits"), F.count("*").alias("row_ends"))
     lanes = -(-(g.n + g.nnz()) // lane)

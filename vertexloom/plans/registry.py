@@ -554,3 +554,7 @@ def cross_inputs(rows):
     """Models of either variant on the features of either."""
     views = {v: dataset.feature_view(rows, v) for v in dataset.VARIANTS}
     return _rounded(ridge.cross_inputs({v: ridge.fit(x) for v, x in views.items()}, views))
+
+
+# the other queries register themselves with the decorators above
+from . import file_queries, order_queries  # noqa: E402, F401

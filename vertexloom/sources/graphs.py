@@ -7,11 +7,13 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.graph import Graph, largest_id
+from ..operators.graph import Graph, adjacency, largest_id, offsets
 from ..operators.positions import with_positions
+from ..storage import write_bytes, write_lines
 from . import matrix_market
 
 
@@ -115,12 +117,48 @@ def write_edge_list(g: Graph, path: str, weighted: bool = False) -> None:
     g.edges.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
-def write_serialised(g: Graph, path: str, directed: bool = True) -> None:
-    """The binary form, for graphs whose edges fit on the driver, which writes the file; `path` is a local one."""
-    rows = np.array([tuple(r) for r in g.edges.select("row", "col").orderBy("row", "col").collect()], np.int64).reshape(-1, 2)
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(rows[:, 0], minlength=g.n))]).astype("<i8")
-    with open(path, "wb") as f:
-        f.write(struct.pack("<?qq", directed, len(rows), g.n) + offsets.tobytes() + rows[:, 1].astype("<i4").tobytes())
+def write_serialised(g: Graph, path: str, directed: bool = True, weighted: bool = False) -> None:
+    """The binary form: directed flag, numbers of edges and nodes, offsets and neighbours, of a directed graph by source and
+    then by target. Tasks pack their stretch of the sorted edges; the driver writes them one after another."""
+
+    def packed(rows: DataFrame, columns: list[str], kind: str):
+        def run(batches):
+            for batch in batches:
+                found = np.stack([np.asarray(batch.column(c)).astype(kind) for c in columns], 1)
+                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["part"])
+
+        for r in rows.mapInArrow(run, "part binary").toLocalIterator(prefetchPartitions=True):
+            yield bytes(r["part"])
+
+    def side(one: str, other: str):
+        yield struct.pack("<q", 0)
+        yield from packed(offsets(g, one).select("id", "end").repartitionByRange("id").sortWithinPartitions("id"), ["end"], "<i8")
+        columns = [other, "val"] if weighted else [other]
+        yield from packed(g.edges.repartitionByRange(one, other, "val").sortWithinPartitions(one, other, "val"), columns, "<i4")
+
+    def parts():
+        yield struct.pack("<?qq", directed, g.nnz(), g.n)
+        yield from side("row", "col")
+        if directed:
+            yield from side("col", "row")
+
+    write_bytes(g.spark, path, parts())
+
+
+def write_dimacs(g: Graph, path: str, weighted: bool = True) -> None:
+    """`p sp n m`, then `a u v w` for each edge, 1-based."""
+    weight = F.col("val").cast("long") if weighted else F.lit(1)
+    body = g.edges.select(F.lit(1).alias("part"), "row", "col", F.concat_ws(" ", F.lit("a"), F.col("row") + 1, F.col("col") + 1, weight).alias("value"))
+    top = g.spark.createDataFrame([(0, 0, 0, f"p sp {g.n} {g.nnz()}")], "part int, row int, col int, value string")
+    write_lines(body.unionByName(top), path, "part", "row", "col")
+
+
+def write_metis(g: Graph, path: str) -> None:
+    """`n m`, then a line of neighbours for each vertex, 1-based; vertices without any are blank lines. A line is a vertex's."""
+    near = adjacency(g).select("id", F.array_join(F.transform("neighbours", lambda v: (v + 1).cast("string")), " ").alias("value"))
+    body = g.vertices().join(near, "id", "left").na.fill("", ["value"])
+    top = g.spark.createDataFrame([(-1, f"{g.n} {g.nnz()}")], "id int, value string")
+    write_lines(body.unionByName(top), path, "id")
 
 
 def write_parquet(g: Graph, path: str, clustered: bool = True) -> None:
@@ -133,7 +171,7 @@ def write_permutation(perm: DataFrame, n: int, m: int, path: str) -> None:
     """n, m, then `old new` by old, in one file."""
     top = perm.sparkSession.createDataFrame([(-2, str(n)), (-1, str(m))], "at int, value string")
     body = perm.select(F.col("old_id").alias("at"), F.concat_ws(" ", "old_id", "new_id").alias("value"))
-    top.unionByName(body).orderBy("at").select("value").coalesce(1).write.mode("overwrite").text(path)
+    write_lines(top.unionByName(body), path, "at")
 
 
 def read_permutation(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.graph import Graph
+from ..operators.positions import with_positions
+from ..storage import write_lines
 
 OBJECTS, FORMATS = ("matrix",), ("coordinate", "array")
 FIELDS = ("real", "double", "integer", "complex", "pattern")
@@ -152,11 +154,38 @@ def read_graph(spark: SparkSession, path: str, strict: bool = False, weighted: b
     return Graph(edges, rows, path.rstrip("/").rsplit("/", 1)[-1])
 
 
-def write_coordinate(g: Graph, path: str, field: str = "pattern") -> None:
+def write_coordinate(g: Graph, path: str, field: str = "pattern", symmetry: str = "general") -> None:
     """One file: banner, size, entries by (row, col), 1-based. The header comes first by its place in the sort."""
-    header = Header("coordinate", field)
-    value = "" if field == "pattern" else F.concat(F.lit(" "), F.col("val").cast("string"))
-    entry = F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1) if field == "pattern" else F.concat(F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1), value)
+    header = Header("coordinate", field, symmetry)
+    if not header.valid():
+        raise BadHeader("unsupported_type", header.type_name())
+    ends = F.concat_ws(" ", F.col("row") + 1, F.col("col") + 1)
+    entry = ends if field == "pattern" else F.concat_ws(" ", ends, F.col("val").cast("long" if field == "integer" else "double"))
     body = g.edges.select(F.lit(2).alias("part"), "row", "col", entry.alias("value"))
     top = g.spark.createDataFrame([(0, 0, 0, f"%%MatrixMarket {header.type_name()}"), (1, 0, 0, f"{g.n} {g.n} {g.nnz()}")], "part int, row int, col int, value string")
-    body.unionByName(top).orderBy("part", "row", "col").select("value").coalesce(1).write.mode("overwrite").text(path)
+    write_lines(body.unionByName(top), path, "part", "row", "col")
+
+
+def write_array(entries: DataFrame, rows: int, cols: int, path: str, field: str = "real") -> None:
+    """One file of a dense matrix from i, j, re: banner, size, all values by column; entries that aren't there are 0."""
+    header = Header("array", field)
+    if not header.valid():
+        raise BadHeader("unsupported_type", header.type_name())
+    spark = entries.sparkSession
+    kind = "long" if field == "integer" else "double"
+    given = entries.select((F.col("j").cast("long") * rows + F.col("i")).alias("at"), F.col("re"))
+    body = spark.range(rows * cols).withColumnRenamed("id", "at").join(given, "at", "left").select("at", F.coalesce("re", F.lit(0.0)).cast(kind).cast("string").alias("value"))
+    top = spark.createDataFrame([(-2, f"%%MatrixMarket {header.type_name()}"), (-1, f"{rows} {cols}")], "at long, value string")
+    write_lines(body.unionByName(top), path, "at")
+
+
+def read_array(spark: SparkSession, path: str) -> tuple[Header, DataFrame]:
+    """The header, and i, j, re of each value of a real dense matrix, 0-based."""
+    banner, size, data = _firsts(spark, path)
+    head = parse_banner(banner)
+    header = Header(head.format, head.field, head.symmetry, head.zero_based, *parse_size(size, head.format))
+    if header.format != "array" or header.field == "complex" or header.symmetry != "general":
+        raise BadHeader("unsupported_type", header.type_name())
+    placed = with_positions(data, "block", "mid", name="at").select("at", F.trim("value").cast("double").alias("re"))
+    rows = max(1, header.rows)
+    return header, placed.select(F.expr(f"cast(at % {rows} as int)").alias("i"), F.expr(f"cast(at div {rows} as int)").alias("j"), "re")

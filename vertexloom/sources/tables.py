@@ -46,6 +46,11 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("sep", "&").option("header", False).csv(path)
 
 
+def append_cdf(cdf: DataFrame, graph_id: int, path: str) -> None:
+    """Degree distributions as lines of the six fields, one for each degree, by degree."""
+    append_log(cdf.select(F.lit(graph_id).alias("graph_id"), "degree", "rows_in", "nnz_in", "rows_out", "nnz_out").orderBy("degree"), path)
+
+
 def append_records(rows: DataFrame, path: str) -> None:
     """The run log as Parquet, to which each run adds a file."""
     rows.write.mode("append").parquet(path)

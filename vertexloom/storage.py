@@ -59,6 +59,44 @@ def drop_written(df: DataFrame | None) -> None:
         delete(df.sparkSession, path)
 
 
+def join_files(spark: SparkSession, folder: str, path: str) -> None:
+    """One file from the parts of a folder, in the order of their names; bytes are copied as they stream by."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    source, target = at(folder), at(path)
+    files, to = source.getFileSystem(conf), target.getFileSystem(conf)
+    to.delete(target, True)
+    out = to.create(target, True)
+    try:
+        for name in sorted(n for n in (f.getPath().getName() for f in files.listStatus(source)) if n.startswith("part-")):
+            part = files.open(at(source, name))
+            try:
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, conf, False)
+            finally:
+                part.close()
+    finally:
+        out.close()
+
+
+def write_lines(lines: DataFrame, path: str, *order) -> None:
+    """One text file of the column `value` in this order. Parts are sorted and written by all tasks, then joined."""
+    spark, parts = lines.sparkSession, f"{path.rstrip('/')}.parts-{uuid.uuid4().hex}"
+    lines.orderBy(*order).select("value").write.text(parts)
+    join_files(spark, parts, path)
+    delete(spark, parts)
+
+
+def write_bytes(spark: SparkSession, path: str, parts) -> None:
+    """One file of the given bytes, each part written as it comes."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for part in parts:
+            out.write(part)
+    finally:
+        out.close()
+
+
 class Scratch:
     """with Scratch(spark) as scratch: tables written within go at its end, but those that are kept."""
 
