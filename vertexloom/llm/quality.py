@@ -133,14 +133,13 @@ def accuracies(counts: dict[str, int]) -> dict[str, tuple[float, float]]:
 
 
 def shares(text: str) -> np.ndarray:
-    """The shares of a text's byte 4-grams by hash bucket."""
+    """The shares of a text's byte 4-grams by hash bucket, less for short texts, of which a few grams say little."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
     out = np.zeros(BUCKETS)
     for at in range(0, len(data), STRETCH):
         h = grams(data[at : at + STRETCH + 3])
         out += np.bincount(h, minlength=BUCKETS)
-    total = out.sum()
-    return out / total if total else out
+    return out / (out.sum() + SHRINK)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -170,8 +169,8 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = FIT_ROUNDS, step: flo
     return w
 
 
-#: Gram shares are small numbers; this brings them near the votes' ones.
-GRAM_SCALE = 20.0
+#: Gram shares are small numbers; this brings them near the votes' ones. Grams that are added to a text's number of them.
+GRAM_SCALE, SHRINK = 20.0, 200
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> dict:
@@ -245,7 +244,7 @@ def classify(docs: DataFrame, model: dict, threshold: float = 0.5, text_col: str
                 for at in range(0, len(data), STRETCH):
                     h = grams(data[at : at + STRETCH + 3])
                     total, n = total + float(w.take(h).sum()), n + len(h)
-                z = w[-1] + GRAM_SCALE * total / max(1, n) + float(w[vote_buckets(p)].sum())
+                z = w[-1] + GRAM_SCALE * total / (n + SHRINK) + float(w[vote_buckets(p)].sum())
                 scores.append(float(1 / (1 + np.exp(-np.clip(z, -50, 50)))))
             weak.append(float(label))
         return [pa.array(scores, pa.float64()), pa.array(weak, pa.float64()), pa.array([s >= threshold for s in scores], pa.bool_())]
