@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -61,6 +63,42 @@ def test_batches_against_brute_force(small):
     assert [r["id"] for r in got.orderBy("place").collect()] == placed
 
 
+def plain_order(n, raised, first, width):
+    """Vertex by vertex: the largest number of times that the last `width` raise it, then the smallest id."""
+    out = [first]
+    while len(out) < n:
+        seen = [v for u in out[len(out) - min(width, len(out)) :] for v in raised(u)]
+        out.append(min((v for v in range(n) if v not in out), key=lambda v: (-seen.count(v), v)))
+    return out
+
+
+@pytest.mark.parametrize("seeds,hub", [("id", 1000)])
+def test_refined_batches_against_brute_force(spark, seeds, hub):
+    g = random_graph(spark, 300, 1500, 8)
+    edges = [(r["row"], r["col"]) for r in g.edges.collect()]
+    limit = greedy.hub_limit(g.n) if hub is None else hub
+    fan, into = (np.bincount([e[k] for e in edges], minlength=g.n) for k in (0, 1))
+    placed = greedy.batches(g, greedy.even_steps(g.n, 100, 1), seeds, by_id=True).collect()
+    new = {r["old_id"]: r["new_id"] for r in greedy.batch_greedy_refined(g, 100, 1, 5, seeds, hub).collect()}
+    for batch in range(3):
+        ids = sorted(r["id"] for r in placed if r["batch"] == batch)
+        shared = {v: [ids.index(w) for s, t in edges if t == v and fan[s] < limit for s2, w in edges if s2 == s and w in ids and w != v] for v in ids}
+        expected = plain_order(len(ids), lambda u: shared[ids[u]] if into[ids[u]] < limit else [], int(fan[ids].argmax()), 5)
+        assert sorted(ids, key=new.get) == [ids[i] for i in expected]
+
+
+def test_a_large_batch_is_refined_in_few_bytes_an_edge():
+    n, m = 10_000, 200_000
+    random = np.random.default_rng(5)
+    member, source = random.integers(0, n, m), random.integers(0, 3 * n, m)
+    pairs = greedy.pairs_of(source, member)
+    tracemalloc.start()
+    order = greedy.sibling_order(n, 0, np.bincount(member, minlength=n), pairs, 5, 1000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(order) == list(range(n)) and peak < 40 * m
+
+
 def test_sliding_places_siblings_together():
     row, col = np.array([0, 0, 1, 1]), np.array([2, 3, 4, 5])
     order = greedy.sliding_order(6, row, col, 5, 100)

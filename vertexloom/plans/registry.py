@@ -336,6 +336,7 @@ def _after(name: str, order) -> None:
 
     def run(spark, sf_dir):
         g = part_graph(spark, sf_dir)
+        g = g.with_edges(workflow.written(g.edges, "graph"))  # orderings read them several times
         perm = workflow.written(order(g), "perm")
         return spmv.unpermuted(spmv.multiply(simple.relabel(g, perm)), perm)
 
