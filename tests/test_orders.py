@@ -72,7 +72,7 @@ def plain_order(n, raised, first, width):
     return out
 
 
-@pytest.mark.parametrize("seeds,hub", [("id", 1000)])
+@pytest.mark.parametrize("seeds,hub", [("id", 1000), ("row", None)])
 def test_refined_batches_against_brute_force(spark, seeds, hub):
     g = random_graph(spark, 300, 1500, 8)
     edges = [(r["row"], r["col"]) for r in g.edges.collect()]
