@@ -214,3 +214,24 @@ def test_merging_against_brute_force():
                     near[u][best] = near[best][u] = near[best].get(u, 0.0) + w
             near[v] = {}
         assert communities.merge_trees(n, row, col, weight, total) == (children, roots)
+
+
+@pytest.mark.parametrize("order", [lambda n, row, col: greedy.sliding_order(n, row, col, 5, 35)])
+def test_sequential_orders_take_few_bytes_an_edge(order):
+    n, m = 2000, 40_000
+    row, col = np.random.default_rng(9).integers(0, n, (2, m))
+    tracemalloc.start()
+    found = order(n, row, col)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sorted(found) == list(range(n)) and peak < 60 * m
+
+
+def test_sliding_against_brute_force():
+    random = np.random.default_rng(4)
+    for n, hub in ((1, 3), (12, 3), (40, 4), (40, 100)):
+        edges = random.integers(0, n, (3 * n, 2)).tolist()
+        targets, sources = ([sorted(e[1 - k] for e in edges if e[k] == v) for v in range(n)] for k in (0, 1))
+        raised = lambda u: (targets[u] if len(targets[u]) < hub else []) + [x for w in sources[u] for x in [w, *(v for v in targets[w] if v != u and len(targets[w]) < hub)]]
+        first = max(range(n), key=lambda v: (len(sources[v]), -v))
+        assert greedy.sliding_order(n, *np.array(edges).T, 3, hub) == plain_order(n, raised, first, 3)
