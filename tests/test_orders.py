@@ -216,7 +216,7 @@ def test_merging_against_brute_force():
         assert communities.merge_trees(n, row, col, weight, total) == (children, roots)
 
 
-@pytest.mark.parametrize("order", [lambda n, row, col: greedy.sliding_order(n, row, col, 5, 35)])
+@pytest.mark.parametrize("order", [lambda n, row, col: greedy.sliding_order(n, row, col, 5, 35), lambda n, row, col: greedy.tile_order(n, row, col, 448, 64)])
 def test_sequential_orders_take_few_bytes_an_edge(order):
     n, m = 2000, 40_000
     row, col = np.random.default_rng(9).integers(0, n, (2, m))
@@ -235,3 +235,22 @@ def test_sliding_against_brute_force():
         raised = lambda u: (targets[u] if len(targets[u]) < hub else []) + [x for w in sources[u] for x in [w, *(v for v in targets[w] if v != u and len(targets[w]) < hub)]]
         first = max(range(n), key=lambda v: (len(sources[v]), -v))
         assert greedy.sliding_order(n, *np.array(edges).T, 3, hub) == plain_order(n, raised, first, 3)
+
+
+def test_tiles_against_brute_force():
+    random = np.random.default_rng(7)
+    for n, slots, hub in ((1, 4, 3), (12, 8, 5), (40, 20, 5), (40, 7, 100), (40, 2, 100)):
+        edges = random.integers(0, n, (3 * n, 2)).tolist()
+        targets, sources = ([sorted(e[1 - k] for e in edges if e[k] == v) for v in range(n)] for k in (0, 1))
+        # slots of a tile hold the sources of its vertices one after the other
+        out, filled, score, begin = [], [], [0] * n, 0
+        for _ in range(n):
+            u = min((v for v in range(n) if v not in out), key=lambda v: (-score[v], -len(sources[v]) if not out else 0, v))
+            out.append(u)
+            filled += sources[u]
+            if len(filled) - begin >= slots:
+                begin, score = len(filled) // slots * slots, [0] * n
+            for w in filled[max(begin, len(filled) - len(sources[u])) :]:
+                for v in targets[w] if len(targets[w]) < hub else []:
+                    score[v] += 1
+        assert greedy.tile_order(n, *np.array(edges).T, slots, hub) == out
