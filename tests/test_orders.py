@@ -254,3 +254,17 @@ def test_tiles_against_brute_force():
                 for v in targets[w] if len(targets[w]) < hub else []:
                     score[v] += 1
         assert greedy.tile_order(n, *np.array(edges).T, slots, hub) == out
+
+
+def test_growing_keeps_its_batches(spark):
+    """Refined or not, a batch fills the same places, and the steps are in one worker."""
+    g = random_graph(spark, 300, 1200, 6)
+    steps = greedy.growing_steps(300, 32)
+    batch = {r["id"]: r["batch"] for r in greedy.batches(g, steps, "col", 10_000, in_worker=0).collect()}
+    spark.sparkContext.setJobGroup("growing", "")
+    try:
+        found = {r["old_id"]: r["new_id"] for r in greedy.growing(g, 32, refine_from=3).collect()}
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("growing")) < 30
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(steps) >= greedy.MANY and all(steps[batch[v]].start <= p < steps[batch[v]].start + steps[batch[v]].size for v, p in found.items()) and len(found) == 300
