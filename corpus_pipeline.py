@@ -19,7 +19,7 @@ from vertexloom.llm.common import Scratch, table, unused, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones teach; learned from labels of documents that aren't held out.
+    """Documents in a language that the labelled ones teach; learned from all labels of documents that aren't held out.
 
     Rejected are texts without a letter, and texts that no learned language explains: their likelihood a letter is far
     below that of nearly all labelled texts, as in languages that were never taught and in random letters. Where the
@@ -29,9 +29,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     model = language.learn(docs, public_tokenizers.path("piece_bpe_32k.model"), where)
     if not model["langs"]:
         return docs.where(F.coalesce(F.col("text").rlike("\\p{L}"), F.lit(False)))
-    least = language.least_fit(docs, model, where)
     lang, score, fit = (unused(docs, x) for x in ("_lang", "_score", "_fit"))
-    found = language.predict(docs, model, lang_name=lang, score_name=score, fit_name=fit)
+    # written, so that texts are scored once: for what labelled ones reach, and for themselves
+    found = written(language.predict(docs, model, lang_name=lang, score_name=score, fit_name=fit), "language-scored")
+    least = language.least_fit(found, model, where, fit_col=fit)
     found = found.where((F.col(lang) != "und") & (F.col(fit) >= F.lit(-float("inf") if least is None else least)))
     return found.withColumn("lang", F.coalesce("lang", lang)).drop(lang, score, fit)
 

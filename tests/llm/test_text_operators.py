@@ -271,6 +271,40 @@ def test_all_words_are_learned_from(spark, monkeypatch):
     assert len(seen["en"]) == 150_001 and seen["zz"] == {"wort": 1, "漢" * 48: 1, "漢" * 12: 1}
 
 
+def test_no_labelled_text_is_left_out(spark, monkeypatch):
+    """Far more texts of a language than a sample would have: all words count, on the driver or from a table, and all fits."""
+    from collections import Counter
+
+    seen = {}
+    whole = language.estimate
+    monkeypatch.setattr(language, "estimate", lambda pieces, counts: seen.update(counts) or whole(pieces, counts))
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, DE).otherwise(EN).alias("text"), F.when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"))
+    model = language.learn(docs, PIECES, F.lit(True))
+    one = Counter(language.LETTERS.findall(EN.lower()))
+    assert seen["en"] == {w: 2000 * n for w, n in one.items()}
+    monkeypatch.setattr(language, "DRIVER_WORDS", 0)
+    assert np.allclose(language.learn(docs, PIECES, F.lit(True))["p"], model["p"])
+    # one text of 1,001 at the low end decides between neighbours, by fits that are there and by fits that are made
+    odd = docs.limit(1).select("doc_id", F.lit("zzq xkv").alias("text"), "lang")
+    some = docs.where("doc_id < 100").unionByName(odd)
+    fits = language.predict(some, model, fit_name="fit")
+    exact = fits.agg(F.percentile("fit", F.lit(0.005))).first()[0]
+    assert language.least_fit(some, model, F.lit(True), quantile=0.005) == pytest.approx(exact - language.FIT_MARGIN)
+    assert language.least_fit(fits, model, F.lit(True), quantile=0.005, fit_col="fit") == pytest.approx(exact - language.FIT_MARGIN)
+
+
+def test_quantiles_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(language, "SORTED", 5)
+    monkeypatch.setattr(language, "RANGES", 4)
+    random = np.random.default_rng(3)
+    for values in ([2.5], [1.0] * 30, random.normal(size=200).tolist(), [*random.integers(0, 4, 50).astype(float).tolist(), None, -1e9]):
+        rows = spark.createDataFrame([(v,) for v in values], "x double")
+        kept = [v for v in values if v is not None]
+        for q in (0.0, 0.01, 0.5, 1.0):
+            assert language.exact_quantile(rows, q) == pytest.approx(np.quantile(kept, q))
+    assert language.exact_quantile(rows.where("x is null"), 0.5) is None
+
+
 def test_forward_sums_all_segmentations():
     pieces = language.pieces_of(PIECES)
     p = np.random.default_rng(0).dirichlet(np.ones(pieces.size), 2).T

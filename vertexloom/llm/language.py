@@ -1,8 +1,8 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 The pieces are a fixed public vocabulary. Each language gives every piece a probability, estimated by expectation-
-maximisation on all words of a bounded sample of labelled texts: a forward-backward pass over the lattice of all segmentations of a
-word yields expected counts. A text's likelihood in a language is the product over its words of the sum over all
+maximisation on all words of all labelled texts: a forward-backward pass over the lattice of all segmentations of a word yields
+expected counts. Words are counted first; many different ones stay in a table, over which each round is an aggregation. A text's likelihood in a language is the product over its words of the sum over all
 segmentations, by the forward algorithm; the prediction is the language with the largest posterior. Words are runs of
 letters, in lower case; they are scored once per worker and kept, within a bound, and lattices of many words are worked
 on together in numpy.
@@ -21,14 +21,19 @@ from itertools import chain
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import appended, held, release, table
+from .common import appended, drop_written, held, release, slices, table, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Documents per language that are learned from at most; rounds of estimation; pseudo-count.
-SAMPLE_DOCS, ROUNDS, PSEUDO = 500, 4, 0.05
+#: Rounds of estimation; pseudo-count.
+ROUNDS, PSEUDO = 4, 0.05
+#: Different words (by language) that the driver estimates from by itself; words that a task counts before it passes them on.
+DRIVER_WORDS, COUNTED = 200_000, 200_000
+#: Values that the driver sorts for a quantile; ranges that it counts in at once.
+SORTED, RANGES = 10_000, 1024
 #: Words that a worker keeps, and the length up to which words are worked on together.
 CACHE_WORDS, SHORT = 250_000, 48
 #: Words whose lattices are in memory together while probabilities are estimated.
@@ -197,24 +202,60 @@ def pieces_of(path: str) -> Pieces:
     return held(("pieces", path), lambda: Pieces(path))
 
 
+def expected_counts(pieces: Pieces, p: np.ndarray, words: list[str], counts: np.ndarray) -> np.ndarray:
+    """Pieces x languages: how often each is expected in words that are there so many times; counts: words x languages."""
+    weights, expected = p * SCALE ** pieces.lengths[:, None], np.zeros_like(p)
+    # lattices of some words at a time, made anew each round, so that memory doesn't follow the words
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        lattices = Lattices(pieces, words[at : at + WORDS_AT_ONCE])
+        alpha, beta = lattices.forward(weights), lattices.backward(weights)
+        share = counts[at : at + WORDS_AT_ONCE] / alpha[lattices.last]
+        owner = np.searchsorted(lattices.base, lattices.ends, "right") - 1
+        for k in range(p.shape[1]):
+            arcs = alpha[lattices.starts, k] * weights[lattices.ids, k] * beta[lattices.ends, k] * share[owner, k]
+            expected[:, k] += np.bincount(lattices.ids, arcs, pieces.size)
+    return expected
+
+
+def smoothed(expected: np.ndarray) -> np.ndarray:
+    return (expected + PSEUDO) / (expected.sum(0) + PSEUDO * len(expected))
+
+
 def estimate(pieces: Pieces, counts: dict[str, Counter], rounds: int = ROUNDS) -> np.ndarray:
     """Piece probabilities, a column for each language, from the languages' word counts."""
     langs, words = list(counts), list({w for c in counts.values() for w in c if len(w) <= SHORT})
     p = np.full((pieces.size, len(langs)), 1.0 / pieces.size)
-    factor = SCALE ** pieces.lengths[:, None]
+    matrix = np.array([[c.get(w, 0) for c in counts.values()] for w in words], float)
     for _ in range(rounds if words else 0):
-        weights, expected = p * factor, np.zeros_like(p)
-        # lattices of some words at a time, made anew each round, so that memory doesn't follow the sample
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            part = words[at : at + WORDS_AT_ONCE]
-            lattices = Lattices(pieces, part)
-            alpha, beta = lattices.forward(weights), lattices.backward(weights)
-            share = np.array([[c.get(w, 0) for c in counts.values()] for w in part], float) / alpha[lattices.last]
-            owner = np.searchsorted(lattices.base, lattices.ends, "right") - 1
-            for k in range(len(langs)):
-                arcs = alpha[lattices.starts, k] * weights[lattices.ids, k] * beta[lattices.ends, k] * share[owner, k]
-                expected[:, k] += np.bincount(lattices.ids, arcs, pieces.size)
-        p = (expected + PSEUDO) / (expected.sum(0) + PSEUDO * pieces.size)
+        p = smoothed(expected_counts(pieces, p, words, matrix))
+    return p
+
+
+def estimate_from_table(words: DataFrame, vocabulary: str, langs: list[str], rounds: int = ROUNDS) -> np.ndarray:
+    """The same from a table lang, word, n; each round is an aggregation, of which a row for each piece and language comes back."""
+    spark, size = words.sparkSession, pieces_of(vocabulary).size
+    place = {k: i for i, k in enumerate(langs)}
+    p = np.full((size, len(langs)), 1.0 / size)
+    for _ in range(rounds):
+        shared = spark.sparkContext.broadcast(p)
+
+        def run(batches, shared=shared):
+            total = np.zeros_like(shared.value)
+            # each language's words by themselves: few words are in several
+            for batch in slices(batches, len(langs) * WORDS_AT_ONCE, holding=("pieces", vocabulary)):
+                for lang, k in place.items():
+                    own = batch.filter(pc.equal(batch.column(0), lang))
+                    counts = own.column(2).to_numpy().astype(float)[:, None]
+                    if len(counts):
+                        total[:, k] += expected_counts(pieces_of(vocabulary), shared.value[:, k : k + 1], own.column(1).to_pylist(), counts)[:, 0]
+            piece, k = total.nonzero()
+            yield pa.RecordBatch.from_arrays([pa.array(piece), pa.array(k), pa.array(total[piece, k])], names=["piece", "k", "x"])
+
+        found = words.mapInArrow(run, "piece long, k long, x double").groupBy("piece", "k").agg(F.sum("x").alias("x")).toArrow()
+        expected = np.zeros_like(p)
+        expected[found["piece"].to_numpy(), found["k"].to_numpy()] = found["x"].to_numpy()
+        p = smoothed(expected)
+        shared.destroy()
     return p
 
 
@@ -223,40 +264,48 @@ def labelled_rows(docs: DataFrame, where, id_col: str, text_col: str, lang_col:
     return rows.where(where).where("lang is not null and text is not null")
 
 
-def sampled(rows: DataFrame, sizes: dict[str, int], sample_docs: int) -> DataFrame:
-    """lang, text of about sample_docs rows of each language, by a hash of id and text: rows that share an id are drawn
-    one by one."""
-    share = F.element_at(F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_docs / n)))]), F.col("lang"))
-    return rows.where(F.pmod(F.xxhash64("id", "text", F.lit(10)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
-
-
-def learn(docs: DataFrame, vocabulary: str, where, id_col="doc_id", text_col="text", lang_col="lang", sample_docs: int = SAMPLE_DOCS) -> dict:
-    """The model: languages, their shares, piece probabilities. where: the rows that may be learned from."""
+def learn(docs: DataFrame, vocabulary: str, where, id_col="doc_id", text_col="text", lang_col="lang") -> dict:
+    """The model: languages, their shares, piece probabilities, from all rows that may be learned from, which are `where`."""
     rows = labelled_rows(docs, where, id_col, text_col, lang_col)
     sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
         return {"langs": [], "vocabulary": vocabulary}
-    some = sampled(rows, sizes, sample_docs)
 
     def count(batches):
-        for batch in batches:
-            found: dict[str, Counter] = {}
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                # longer words by stretches, so that scripts without spaces are learned from as well
-                found.setdefault(lang, Counter()).update(w[at : at + SHORT] for w in LETTERS.findall(text.lower()) for at in range(0, len(w), SHORT))
+        found: dict[str, Counter] = {}
+
+        def flat():
             flat = [(k, w, n) for k, c in found.items() for w, n in c.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in flat], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64()))], names=["lang", "word", "n"])
 
-    words = some.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow()
-    counts = {k: Counter() for k in langs}
-    for lang, word, n in zip(*(words[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
-        counts[lang][word] = n
+        for batch in slices(batches):
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = LETTERS.findall(text.lower())
+                # longer words by stretches, so that scripts without spaces are learned from as well
+                if words and max(map(len, words)) > SHORT:
+                    words = [w[at : at + SHORT] for w in words for at in range(0, len(w), SHORT)]
+                found.setdefault(lang, Counter()).update(words)
+                if sum(map(len, found.values())) > COUNTED:
+                    yield flat()
+        yield flat()
+
+    words = rows.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    words = written(words, "language-words")
+    if words.count() > DRIVER_WORDS:
+        p = estimate_from_table(words, vocabulary, langs)
+    else:
+        counts = {k: Counter() for k in langs}
+        few = words.toArrow()
+        for lang, word, n in zip(*(few[c].to_pylist() for c in ("lang", "word", "n")), strict=True):
+            counts[lang][word] = n
+        p = estimate(pieces_of(vocabulary), counts)
+        del few, counts
+    drop_written(words)
     total = sum(sizes.values())
-    p = estimate(pieces_of(vocabulary), counts)
-    del words, counts
     release()
-    return {"langs": langs, "sizes": sizes, "prior": np.array([sizes[k] / total for k in langs]), "p": p, "vocabulary": vocabulary}
+    return {"langs": langs, "prior": np.array([sizes[k] / total for k in langs]), "p": p, "vocabulary": vocabulary}
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_name: str = "lang_pred", score_name: str = "score", fit_name: str | None = None) -> DataFrame:
@@ -295,13 +344,45 @@ def predict(docs: DataFrame, model: dict, text_col: str = "text", lang_name: str
     return appended(docs, [text_col], fields, run, holding=("pieces", model["vocabulary"]))
 
 
-def least_fit(docs: DataFrame, model: dict, where, id_col="doc_id", text_col="text", lang_col="lang", sample_docs: int = SAMPLE_DOCS, quantile: float = LOW_FIT, margin: float = FIT_MARGIN) -> float | None:
-    """The fit below which no learned language explains a text: a margin under what nearly all sampled texts reach; None
-    if there are no languages."""
+def exact_quantile(values: DataFrame, quantile: float) -> float | None:
+    """The quantile of the one column, between neighbours as `percentile` has it; None without values. Values are counted in
+    ever narrower ranges, so neither a task nor the driver holds them all."""
+    x = F.col(values.columns[0])
+    values = values.where(x.isNotNull())
+    n, low, high = values.agg(F.count("*"), F.min(x), F.max(x)).first()
+    if not n:
+        return None
+    rank = int(quantile * (n - 1))
+    part = quantile * (n - 1) - rank
+    before = 0
+    while low < high:
+        inside = values.where((x >= low) & (x <= high))
+        if n <= SORTED:
+            low = sorted(r[0] for r in inside.collect())[rank - before]
+            break
+        cell = F.least(F.lit(RANGES - 1), F.floor((x - low) / (high - low) * RANGES))
+        for _, count, least, most in sorted(map(tuple, inside.groupBy(cell.alias("cell")).agg(F.count("*"), F.min(x), F.max(x)).collect())):
+            if before + count > rank:
+                n, low, high = count, least, most
+                break
+            before += count
+    if not part:
+        return low
+    up_to, after = values.agg(F.count_if(x <= low), F.min(F.when(x > low, x))).first()
+    return low if up_to > rank + 1 else low + part * (after - low)
+
+
+def least_fit(docs: DataFrame, model: dict, where, id_col="doc_id", text_col="text", lang_col="lang", quantile: float = LOW_FIT, margin: float = FIT_MARGIN, fit_col: str | None = None) -> float | None:
+    """The fit below which no learned language explains a text: a margin under what nearly all labelled texts reach; None
+    if there are no languages. fit_col: the column of fits, if `predict` has made it already."""
     if not model["langs"]:
         return None
-    some = sampled(labelled_rows(docs, where, id_col, text_col, lang_col), model["sizes"], sample_docs)
-    low = predict(some.select("text"), model, fit_name="fit").agg(F.percentile("fit", F.lit(quantile))).first()[0]
+    if fit_col is None:
+        fits = written(predict(labelled_rows(docs, where, id_col, text_col, lang_col).select("text"), model, fit_name="fit").select("fit"), "language-fits")
+    else:
+        fits = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), F.col(fit_col).alias("fit"))
+        fits = fits.where(where).where("lang is not null and text is not null").select("fit")
+    low = exact_quantile(fits, quantile)
     return None if low is None else low - margin
 
 
