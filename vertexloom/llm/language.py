@@ -16,9 +16,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import chain
+from itertools import repeat
 
-import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -56,26 +55,88 @@ class Pieces:
         kept = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.names = [model.id_to_piece(i) for i in kept]
         self.size = len(self.names) + 1
-        self.finder = ahocorasick.Automaton()
-        for i, name in enumerate(self.names):
-            self.finder.add_word(name, i)
-        self.finder.make_automaton()
         self.longest = max(map(len, self.names))
         self.lengths = np.array([*map(len, self.names), 1], np.int64)
+        self.shifts = self.longest.bit_length(), self.size.bit_length()
+        # a tree of the pieces' letters: node 0 is none, letter 0 is in no piece
+        letters = {c: k for k, c in enumerate(sorted(set().union(*self.names)), 1)}
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = list(letters.values())
+        tree: dict[tuple[int, int], int] = {}
+        ends = {}
+        for i, name in enumerate(self.names):
+            node = 0
+            for c in name:
+                node = tree.setdefault((node, letters[c]), len(tree) + 1)
+            ends[node] = i
+        self.piece = np.full(len(tree) + 1, -1, np.int32)
+        self.piece[list(ends)] = list(ends.values())
+        above, by = np.array(list(tree), np.int64).reshape(-1, 2).T
+        below = np.arange(1, len(tree) + 1, dtype=np.int32)
+        self.first = np.zeros(len(letters) + 1, np.int32)
+        self.first[by[above == 0]] = below[above == 0]
+        self.inner = np.zeros(len(tree) + 1, bool)
+        self.inner[above] = True
+        self.inner[0] = False
+        # its steps from the second level on, by hash: each at the first slot that is free
+        keys, below = (above * len(self.first) + by)[above > 0], below[above > 0]
+        self.bits = max(4, (4 * len(keys)).bit_length())
+        self.keys, self.below = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        at = self.slots(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            free = free[np.unique(at[free], return_index=True)[1]]
+            self.keys[at[free]], self.below[at[free]] = keys[free], below[free]
+            keys, below, at = (np.delete(x, free) for x in (keys, below, at))
+            at = at + 1 & (1 << self.bits) - 1
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Where a step is looked for first."""
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def down(self, nodes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+        """The nodes below by these letters, 0 for none."""
+        keys = nodes * np.int64(len(self.first)) + letters
+        at = self.slots(keys)
+        found = self.keys[at]
+        same = found == keys
+        out = np.where(same, self.below[at], 0)
+        rest = np.flatnonzero(~same & (found >= 0))
+        while len(rest):
+            at[rest] = at[rest] + 1 & (1 << self.bits) - 1
+            found = self.keys[at[rest]]
+            same = found == keys[rest]
+            out[rest[same]] = self.below[at[rest[same]]]
+            rest = rest[~same & (found >= 0)]
+        return out
 
     def arcs(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """End, start and piece of every match in a text of words between line ends, which no piece holds, by end."""
-        found = np.fromiter(chain.from_iterable(self.finder.iter(text)), np.int64).reshape(-1, 2)
-        ends, ids = found[:, 0] + 1, found[:, 1]
-        starts = ends - self.lengths[ids]
-        bare = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32) != 10
-        bare[starts[ends - starts == 1]] = False
-        bare = np.flatnonzero(bare)
-        if len(bare):
-            ends, starts, ids = np.concatenate([ends, bare + 1]), np.concatenate([starts, bare]), np.concatenate([ids, np.full(len(bare), self.size - 1)])
-            order = np.argsort(ends, kind="stable")
-            ends, starts, ids = ends[order], starts[order], ids[order]
-        return ends, starts, ids
+        """End, start and piece of every match in a text of words between line ends, which no piece holds, by end, then start."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = np.append(self.letter[codes], np.int32(0))
+        by_length, by_piece = self.shifts
+        starts, node = np.arange(len(codes)), self.first[letters[:-1]]
+        found, length = [], 0
+        bare = np.flatnonzero((codes != 10) & (self.piece[node] < 0))
+        found.append((bare + 1 << by_length | self.longest - 1) << by_piece | self.size - 1)
+        # all starts go down the tree together, a letter at a time
+        while len(starts):
+            length += 1
+            piece = self.piece[node]
+            hit = np.flatnonzero(piece >= 0)
+            found.append((starts[hit] + length << by_length | self.longest - length) << by_piece | piece[hit])
+            on = np.flatnonzero(self.inner[node])
+            starts = starts[on]
+            following = letters[starts + length]
+            node = self.down(node[on], following)
+            on = np.flatnonzero(node)
+            starts, node = starts[on], node[on]
+        arcs = np.concatenate(found)
+        arcs.sort()
+        ids = arcs & (1 << by_piece) - 1
+        arcs >>= by_piece
+        ends = arcs >> by_length
+        return ends, ends + (arcs & (1 << by_length) - 1) - self.longest, ids
 
 
 class Lattices:
@@ -160,10 +221,12 @@ class Scorer:
         room = at_once = CACHE_WORDS // 4
 
         def settle() -> None:
-            self.learn([w for _, words in waiting for w in words])
-            index, known = self.index, self.known
-            for k, words in waiting:
-                out[k] = out[k] + known[[index[w] for w in words]].sum(0)
+            if not waiting:
+                return
+            places = self.learn([w for _, words in waiting for w in words])
+            begins = np.cumsum([0, *(len(words) for _, words in waiting[:-1])])
+            for (k, _), total in zip(waiting, np.add.reduceat(self.known[places], begins), strict=True):
+                out[k] = out[k] + total
             waiting.clear()
 
         for k, text in enumerate(texts):
@@ -185,17 +248,21 @@ class Scorer:
         settle()
         return [None if x is None else np.append(x, n) for x, n in zip(out, letters, strict=True)]
 
-    def learn(self, words: list[str]) -> None:
-        """Makes the words known; all that were known before go if there is no room."""
-        new = list({w for w in words if w not in self.index})
+    def learn(self, words: list[str]) -> np.ndarray:
+        """Makes the words known, and says where; all that were known before go if there is no room."""
+        places = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        missing = np.flatnonzero(places < 0)
+        lost = [words[i] for i in missing.tolist()]
+        new = list(set(lost))
         if len(self.index) + len(new) > CACHE_WORDS:
             self.index.clear()
-            new = list(set(words))
-        if not new:
-            return
-        at = len(self.index)
-        self.known[at : at + len(new)] = self.short(new)
-        self.index.update(zip(new, range(at, at + len(new)), strict=True))
+            missing, lost, new = np.arange(len(words)), words, list(set(words))
+        if new:
+            at = len(self.index)
+            self.known[at : at + len(new)] = self.short(new)
+            self.index.update(zip(new, range(at, at + len(new)), strict=True))
+            places[missing] = np.fromiter(map(self.index.__getitem__, lost), np.int64, len(lost))
+        return places
 
 
 def pieces_of(path: str) -> Pieces:
