@@ -406,6 +406,20 @@ def test_quality(spark, odd, crowded, empty):
     assert quality.classify(odd, nothing).count() == odd.count()
 
 
+def test_quality_sends_the_driver_a_small_part_of_the_sample(spark, monkeypatch):
+    texts = [JUNK[i % 4] + JUNK[i % 4][: i % 11] if i % 5 == 0 else good_text(i) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sent, features, fetch, fit = [], [], type(docs).toArrow, quality.fit_scorer
+    monkeypatch.setattr(type(docs), "toArrow", lambda df: sent.append(fetch(df)) or sent[-1])
+    monkeypatch.setattr(quality, "fit_scorer", lambda x, y: features.append(x.copy()) or fit(x, y))
+    quality.learn(docs)
+    assert len(sent) == 1 and len(sent[0]) == len(features[0]) == 200
+    assert sent[0].nbytes < features[0].nbytes / 4
+    # what the scorer is trained on are the whole shares all the same
+    whole = np.array([quality.shares(t).astype(np.float32) * quality.GRAM_SCALE for t in texts], np.float32)
+    assert sorted(map(bytes, features[0][:, : quality.BUCKETS])) == sorted(map(bytes, whole))
+
+
 def test_labellers():
     names = quality.LABELLERS
     for text, name in zip(JUNK, ("upper", "bars", "marks", "runs"), strict=True):
